@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import mixing, secrets
-from tessellar.llm.common import documents
+from tessellar.llm import mixing, pii, secrets, toxicity
+from tessellar.llm.common import batch_rows, documents
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark)
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark)
+    return pii.report(documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op10_secrets": op10_secrets}
+    return {"op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
