@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import mixing, pii, secrets, toxicity
+from tessellar.llm import licenses, mixing, pii, secrets, toxicity
 from tessellar.llm.common import batch_rows, documents
 
 
@@ -17,6 +17,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark)
     return pii.report(documents(spark, sf_dir))
@@ -27,7 +31,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    return {"op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
