@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import licenses, mixing, pii, secrets, toxicity
+from tessellar.llm import decontam, licenses, mixing, pii, secrets, toxicity
 from tessellar.llm.common import batch_rows, documents
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark)
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -31,7 +36,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    return {"op3_decontamination": op3_decontamination, "op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
