@@ -56,26 +56,31 @@ def grams(c: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def align(item: np.ndarray, doc: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best alignment of all of item on diagonals low .. low + width - 1 of doc."""
-    at = np.arange(width, dtype=np.int64)
+def align(item: np.ndarray, doc: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best alignment of all of item on diagonals low .. low + width - 1 of doc; None above most edits.
+
+    Places outside doc hold a character that matches nothing: using one costs what leaving out the item's character costs.
+    """
     padded = np.full(len(item) + width, 0xFFFFFFFF, np.uint32)
     a, b = max(0, low), min(len(doc), low + len(padded))
     if a < b:
         padded[a - low : b - low] = doc[a:b]
-    outside = np.int64(1) << 60
-    col = low + at
-    row = np.where((col >= 0) & (col <= len(doc)), at, outside)  # free start: no edits, and the start itself
-    step = at * _UNIT
+    row = np.arange(width, dtype=np.int64)  # free start: no edits, and where the alignment starts
+    step = row * _UNIT
     for i, c in enumerate(item):
-        diag = row + (padded[i : i + width] != c) * _UNIT
-        down = np.append(row[1:], outside) + _UNIT
-        col = col + 1
-        new = np.minimum(np.where((col >= 1) & (col <= len(doc)), diag, outside), np.where((col >= 0) & (col <= len(doc)), down, outside))
-        row = np.minimum.accumulate(new - step) + step
-        row[(col < 0) | (col > len(doc))] = outside
+        new = row + (padded[i : i + width] != c) * _UNIT
+        np.minimum(new[:-1], row[1:] + _UNIT, out=new[:-1])
+        new -= step
+        np.minimum.accumulate(new, out=new)
+        new += step
+        row = new
+        if i & 7 == 7 and row.min() >= (most + 1) * _UNIT:
+            return None
     k = int(row.argmin())
-    return int(row[k] // _UNIT), low + int(row[k] % _UNIT), low + len(item) + k
+    edits = int(row[k] // _UNIT)
+    if edits > most:
+        return None
+    return edits, max(0, low + int(row[k] % _UNIT)), min(len(doc), low + len(item) + k)
 
 
 class Index:
@@ -108,6 +113,7 @@ class Index:
         self.bits[self.known >> np.uint64(64 - _BITS)] = True
         self.k1 = np.array(self.budget, np.int64) + 1
         self.need = np.array(self.least, np.int64)
+        self.longest = max(map(len, self.texts), default=1)
 
     def bands(self, doc: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) of each band that reaches its item's bound; band b covers diagonals b(k+1) to (b+2)(k+1) - 1."""
@@ -124,10 +130,25 @@ class Index:
             return []
         each = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.owner[each]
-        band = (np.repeat(at, n) - self.place[each]) // self.k1[item]
-        span = len(doc) + 2 * max(map(len, self.texts)) + 4
+        able = (np.bincount(item, minlength=len(self.ids)) >= self.need)[item]  # items with enough hits in the whole text
+        if not able.any():
+            return []
+        item, each = item[able], each[able]
+        band = (np.repeat(at, n)[able] - self.place[each]) // self.k1[item]
+        span = len(doc) + 2 * self.longest + 4
         key = item * (2 * span) + band + span
-        own, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        key = np.concatenate([key, key - 1])
+        key_sorted = np.sort(key)
+        first = np.flatnonzero(np.concatenate([[True], key_sorted[1:] != key_sorted[:-1]]))
+        if not (np.diff(np.append(first, len(key))) >= self.need[key_sorted[first] // (2 * span)]).any():
+            return []
+        own, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        full = count >= self.need[own // (2 * span)]
+        # A gram of the item counts once in a band, however often the document repeats it there.
+        pick = full[inverse]
+        pair = np.unique(inverse[pick] * self.longest + np.concatenate([self.place[each]] * 2)[pick])
+        band_of, count = np.unique(pair // self.longest, return_counts=True)
+        own = own[band_of]
         own = own[count >= self.need[own // (2 * span)]]
         return [(int(x // (2 * span)), int(x % (2 * span)) - span) for x in own]
 
@@ -137,9 +158,9 @@ class Index:
         best: dict[int, tuple[int, int, int]] = {}
         for i, band in self.bands(doc):
             low, item, k = band * (self.budget[i] + 1), self.texts[i], self.budget[i]
-            edits, start, end = align(item, doc, low, 2 * (k + 1))
-            if edits <= k and (i not in best or (edits, start) < best[i][:2]):
-                best[i] = (edits, start, end)
+            found = align(item, doc, low, 2 * (k + 1), k)
+            if found and (i not in best or found < best[i]):
+                best[i] = found
         for i in self.short:
             padded = np.concatenate([[32], doc, [32]]).astype("<u4").tobytes()
             p = padded.find(np.concatenate([[32], self.texts[i], [32]]).astype("<u4").tobytes())
