@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import decontam, licenses, mixing, pii, secrets, simhash, toxicity
+from tessellar.llm import decontam, licenses, lm, mixing, pii, secrets, simhash, toxicity
 from tessellar.llm.common import batch_rows, documents
 
 
@@ -17,6 +17,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark)
+    return lm.report(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark)
     return simhash.report(documents(spark, sf_dir))
@@ -41,7 +46,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_decontamination": op3_decontamination, "op4_mixing": op4_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    return {"op3_decontamination": op3_decontamination, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
