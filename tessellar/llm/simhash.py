@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellar.llm.common import stored
 from tessellar.llm.graph import components, local_components
@@ -70,23 +71,23 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, lanes: int = 1
     return [majority(h if k == 0 else mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(lanes)]
 
 
-def fingerprints(df: DataFrame, doc_id: str, text: str, width: int, seed: int = 42, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and f0, f1, ... (fingerprint words as signed longs) of each row."""
-    names = [f"f{k}" for k in range(lanes)]
+def fingerprints(df: DataFrame, text: str, width: int, seed: int = 42, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """df with its rows' fingerprint words as signed longs: __f0, __f1, ..."""
+    names, at = [f"__f{k}" for k in range(lanes)], df.columns.index(text)
+    own = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}
             rows = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(at).to_pylist():
                 if t not in seen:
                     seen[t] = fingerprint(t, width, seed, lanes, distinct)
                 rows.append(seen[t])
             f = np.array(rows, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes))], names=[*own, *names])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def gray_rank(key: np.ndarray) -> np.ndarray:
@@ -192,11 +193,11 @@ def link_shard(index: np.ndarray, queries: np.ndarray, block: int, bits: int, ra
     return np.stack([everyone[label[moved], 0], everyone[moved, 0]], axis=1)
 
 
-def links(nodes: DataFrame, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """Edges (u, v) that connect what is linked: nodes(nid, f0, ...) whose keys differ by at most radius bits in some
     block and, where most is given, whose whole fingerprints differ by at most most bits."""
     n = nodes.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD))
+    shards = max(least_shards, -(-n // SHARD))
     spark = nodes.sparkSession
     keyed = nodes.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("t"), block_key_column(b, bits).alias("key")) for b in range(blocks)))).alias("k"))
     rank = gray_rank_column(F.col("k.key"))
@@ -240,23 +241,36 @@ def links(nodes: DataFrame, lanes: int, blocks: int, bits: int, radius: int, mos
     return sent.groupBy("to").applyInArrow(link, "u long, v long")
 
 
-def grouped(df: DataFrame, doc_id: str, text: str, width: int, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None, distinct: bool = False) -> DataFrame:
-    """doc_id, f0, ..., component_id (smallest doc_id of the component) for each row of df."""
-    names = [f"f{k}" for k in range(lanes)]
-    prints = stored(fingerprints(df, doc_id, text, width, 42, lanes, distinct), "fingerprints")
-    nodes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("nid"), "least", *names), "nodes")
-    roots = components(links(nodes, lanes, blocks, bits, radius, most))
-    placed = nodes.join(roots, nodes["nid"] == roots["v"], "left").select(*names, "least", F.coalesce("u", "nid").alias("root"))
-    placed = stored(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    each = placed.join(least, "root").select(*(F.col(x).alias(f"_{x}") for x in names), "component_id")
-    same = prints["f0"] == each["_f0"]
-    for x in names[1:]:
-        same = same & (prints[x] == each[f"_{x}"])
-    return prints.join(each, same).select("doc_id", *names, "component_id")
+def placed(prints: DataFrame, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """For each fingerprint of prints(least, __f0, ...): its words and the smallest value of least in its component."""
+    names, words = [f"f{k}" for k in range(lanes)], [f"__f{k}" for k in range(lanes)]
+    nodes = prints.groupBy(*words).agg(F.min("least").alias("least")).select(F.monotonically_increasing_id().alias("nid"), "least", *(F.col(w).alias(n) for w, n in zip(words, names, strict=True)))
+    nodes = stored(nodes, "nodes")
+    roots = components(links(nodes, lanes, blocks, bits, radius, most, least_shards))
+    table = stored(nodes.join(roots, nodes["nid"] == roots["v"], "left").select(*names, "least", F.coalesce("u", "nid").alias("root")), "placed")
+    least = table.groupBy("root").agg(F.min("least").alias("component"))
+    return table.join(least, "root").select(*names, "component")
 
 
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 3-word shingles, links at 2 or fewer of 64 bits."""
-    out = grouped(df, "doc_id", "text", width=3, lanes=1, blocks=1, bits=64, radius=2)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = stored(fingerprints(rows, "text", width=3).drop("text"), "fingerprints")
+    each = placed(prints.select(F.col("doc_id").alias("least"), "__f0"), lanes=1, blocks=1, bits=64, radius=2)
+    out = prints.join(each, prints["__f0"] == each["f0"])
+    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: Near-dedup of documents: fingerprints of 256 bits over different 5-word shingles. Two sets of Jaccard similarity 0.8
+#: differ in about 39 of these bits. Blocks of 24 bits at most 2 apart propose pairs; MOST of all bits confirm them.
+LANES, BLOCKS, BITS, RADIUS, MOST = 4, 10, 24, 2, 44
+
+
+def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """df with one row of each group of near copies: the one of the smallest id (null last; of repeated ids any one)."""
+    row = "__row"
+    tagged = stored(fingerprints(df, text, width, lanes=LANES, distinct=True).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    least = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row")).alias("least")
+    words = [f"__f{k}" for k in range(LANES)]
+    kept = placed(tagged.select(least, *words), LANES, BLOCKS, BITS, RADIUS, MOST, least_shards=6).select(F.col("component.row").alias("__kept")).distinct()
+    return tagged.join(kept, tagged[row] == kept["__kept"], "left_semi").drop(row, *words)
