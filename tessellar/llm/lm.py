@@ -15,7 +15,8 @@ for it; it answers each request with its corpus count, and answers are joined ba
 summed by document. Frequent n-grams are combined inside each batch before anything is shuffled, and
 blocks of sorted hashes are what moves, so the exploded n-grams never exist as rows.
 
-n-grams are identified by 64-bit hashes. Null and empty texts have no words: n_words 0 and a null
+n-grams are identified by the first log2(corpus words) + SPARE bits of 64-bit hashes (all 64 for large
+corpora): a lookup then meets another n-gram's hash with a probability of about 2**-SPARE at any size. Null and empty texts have no words: n_words 0 and a null
 score. Repeated rows are separate documents. A document of more than BATCH words is a batch by itself.
 """
 
@@ -34,7 +35,8 @@ from tessellar.llm.words import mix, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BATCH = 400_000
+BATCH = 800_000
+SPARE = 22
 #: n-grams that one bucket is meant to hold.
 BUCKET = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -80,9 +82,9 @@ class Batch:
         self.starts = (np.cumsum(sizes) - sizes)[self.doc]
         self.at = np.arange(len(tokens)) - self.starts
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, where each word's n-gram is among them, which words have one)."""
-        h = ngram_hashes(self.words, self.starts, order)
+    def grams(self, order: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct hashes of so many bits, where each word's n-gram is among them, which words have one)."""
+        h = ngram_hashes(self.words, self.starts, order) >> np.uint64(64 - bits)
         known, inverse = np.unique(h[self.at >= order - 1], return_inverse=True)
         full = np.full(len(h), -1)
         full[self.at >= order - 1] = inverse
@@ -127,6 +129,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     table = stored(rows.mapInArrow(_tokenised, "batch long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long"), "lm-batches")
     total = table.agg(F.sum("n")).first()[0] or 0
     buckets = max(32, -(-total // BUCKET))
+    bits = min(64, max(32, int(total).bit_length() + SPARE))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,9 +137,9 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                 batch = _read(row)
                 out: list = [[], [], [], [], []]
                 for order in range(1, ORDER + 1):
-                    known, full, has = batch.grams(order)
+                    known, full, has = batch.grams(order, bits)
                     times = np.bincount(full[has], minlength=len(known))
-                    bucket = (known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                    bucket = (known >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
                     cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 40)))
                     for s, e in zip(cut, np.append(cut[1:], len(known)), strict=True):
                         for k, v in enumerate((int(bucket[s]), row["batch"], order, pack(known[s:e]), _narrow(times[s:e]))):
@@ -160,7 +163,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
         for b in batches:
             for row in b.to_pylist():
                 batch = _read(row)
-                log = _word_scores(batch, row["answers"] or [], total)
+                log = _word_scores(batch, row["answers"] or [], total, bits)
                 sums = np.bincount(batch.doc, weights=log, minlength=len(batch.sizes))
                 mean = sums / np.maximum(batch.sizes, 1)
                 yield pa.RecordBatch.from_arrays(
@@ -171,13 +174,13 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return joined.mapInArrow(sum_up, "doc_id long, n_words long, score double")
 
 
-def _word_scores(batch: Batch, answers: list[dict], total: int) -> np.ndarray:
+def _word_scores(batch: Batch, answers: list[dict], total: int, bits: int = 64) -> np.ndarray:
     """The logarithm of each word's score, its own document's occurrences taken off."""
     others, place = [], []
     for order in range(1, ORDER + 1):
         got = [_wide(a["counts"]) for a in answers if a["gram"] == order]
         counts = np.concatenate([*got, np.zeros(0, np.int64)])
-        known, full, has = batch.grams(order)
+        known, full, has = batch.grams(order, bits)
         # Occurrences in the word's own document: of pairs (document, n-gram).
         pair = batch.doc[has] * np.int64(max(len(known), 1)) + full[has]
         _, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
