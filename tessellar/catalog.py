@@ -1,11 +1,319 @@
-"""Every registered query of the engine and the SQL that checks it."""
+"""Every registered query of the engine over the driver's tables, and DuckDB SQL that checks it.
+
+Each query applies the engine's own operators to whole tables; what they stand in for (files, chunks,
+identifiers, snapshots) is said where the tables are dressed up.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessellar.functions import scoring as S
+from tessellar.functions import text as X
+from tessellar.functions.intent import CODE_WEIGHTS, IDENTIFIER_WEIGHTS, intent
+from tessellar.operators import changes, chunking, documents, impact, search
+from tessellar.operators.embedding import misses
+from tessellar.sources.files import by_directory, directories
+
+#: Query texts, all of them about concepts; their vectors are those of the first rows of embeddings.
+TEXTS = ("the and of", "tion heed", "la de", "worthless")
+#: Query texts of every intent.
+INTENTS = ("how refresh works", "buildIndex", "find the user", "sqlite index", "plain words here", "process_payment", "HTTPServer", "get", "", "build a very long list of words")
+SIGNATURES = ("class Foo:", "export interface Bar {", "enum Color {", "type ID = string", "async def run():", "def f(x):", "function go() {", "const a = 1", "fn main() {", "data class User(val x: Int)")
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, texts=TEXTS) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf).where(F.col("vec_id") < len(TEXTS))
+    return v.join(F.broadcast(_texts(spark)), F.col("vec_id") == F.col("query_id")).select("query_id", "query", "vector")
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of one file each: the source is the path, the text the body."""
+    d = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("path_text"), F.col("text").alias("body_text"))
+    blank = {c: F.lit("") for c in ("header_text", "file_symbol_text", "local_symbol_text")}
+    return d.withColumns(blank).join(_vectors(spark, sf), F.col("doc_id") == F.col("vec_id")).drop("vec_id")
+
+
+# Text.
+
+
+def tokenize_counts(spark, sf):
+    t = X.tokens("text")
+    return _t(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"))
+
+
+def term_frequency_topk(spark, sf):
+    each = _t(spark, sf, "documents").select(F.explode(X.tokens("text")).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+def squeezed_names(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.squeezed("p_name").alias("squeezed"))
+
+
+def header_lines(spark, sf):
+    text = F.concat(F.lit("#  "), F.col("role"), F.lit("\n  // "), F.col("text"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.header_lines(text), " | ").alias("header"))
+
+
+def line_explode(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(X.lines("text")).alias("at", "line"))
+    return d.select("doc_id", (F.col("at") + 1).alias("line_number"), X.strip("line").alias("line"))
+
+
+def content_ids(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", X.content_id("source", "lang", "text").alias("content_id"))
+
+
+def snippet_preview(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", X.snippet("text").alias("snippet"))
+
+
+def join_text_parts(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", X.join_nonempty("c_name", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("")).alias("joined"))
+
+
+def token_budget(spark, sf):
+    d = _t(spark, sf, "documents").groupBy("source").agg(F.sum(X.token_estimate("text")).alias("tokens"))
+    return d.select("source", "tokens", F.when(F.col("tokens") <= 20000, "full").otherwise("reduced").alias("mode"))
+
+
+def namespace_slugs(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.slug(F.concat_ws("/", "p_brand", "p_type")).alias("namespace"))
+
+
+# Chunks.
+
+
+def greedy_line_chunks(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.text_chunks(X.lines("text"))).alias("ordinal", "c"))
+    return d.select("doc_id", "ordinal", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.length("c.content").alias("n_chars"), F.md5(F.col("c.content").cast("binary")).alias("digest"))
+
+
+def _talk(spark, sf, turn) -> DataFrame:
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return c.select("conv_id", F.array_join(F.transform("t", turn), "\n").alias("text"))
+
+
+def paragraph_chunks(spark, sf):
+    d = _talk(spark, sf, lambda t: F.concat(t["text"], F.lit("\n")))
+    d = d.select("conv_id", F.posexplode(chunking.text_chunks(X.lines("text"), 400)).alias("ordinal", "c"))
+    return d.select("conv_id", "ordinal", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.length("c.content").alias("n_chars"))
+
+
+def markdown_sections(spark, sf):
+    d = _talk(spark, sf, lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n"), t["text"]))
+    return d.select("conv_id", F.explode(chunking.markdown_sections(X.lines("text"))).alias("s")).select("conv_id", F.col("s.start").alias("start_line"), F.col("s.end").alias("end_line"))
+
+
+def _symbols():
+    """Two nested symbols and a later one in every document's lines."""
+    one = lambda kind, name, a, b: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(f"{kind} {name}").alias("signature"), F.lit(a).alias("line_start"), F.lit(b).alias("line_end"))
+    return F.array(one("class", "Box", 1, 3), one("function", "open", 2, 3), one("function", "shut", 4, 4))
+
+
+def symbol_chunks(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.code_chunks(X.lines("text"), _symbols())).alias("ordinal", "c"))
+    return d.select("doc_id", "ordinal", "c.kind", F.length("c.content").alias("n_chars"))
+
+
+def chunk_fields(spark, sf):
+    d = _t(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("relative_path"), F.array(F.col("lang")).alias("header_lines"), _symbols().alias("symbols"), F.lit(0).alias("ordinal"), F.lit("text").alias("kind"), F.lit(2).alias("start"), F.lit(2).alias("end"), F.substring("text", 1, 40).alias("content"))
+    return documents.chunk_documents(d, "ollama", "m").select("relative_path", "chunk_id", "embedding_id", "local_symbol_text")
+
+
+# Vectors and scores.
+
+
+def cosine_topk(spark, sf):
+    v = _vectors(spark, sf)
+    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit("").alias("query"), "vector")
+    rows = search.against(v.withColumn("__vn", S.norm(F.col("vector"))), q)
+    rows = rows.select("query_id", "vec_id", F.round(S.cosine(F.col("vector"), F.col("__qv"), F.col("__vn"), F.col("__qn")), 6).alias("similarity"))
+    return search.top(rows, 10, F.desc("similarity"), "vec_id")
+
+
+def vectors_join(spark, sf):
+    d = _t(spark, sf, "documents").join(_vectors(spark, sf), F.col("doc_id") == F.col("vec_id"))
+    return d.select("doc_id", F.size("vector").cast("long").alias("dims"), F.round(S.norm(F.col("vector")), 6).alias("norm"))
+
+
+def fielded_keyword_score(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    q = _texts(spark).select("query_id", "query", X.tokens("query").alias("q"))
+    rows = d.join(F.broadcast(q))
+    fields = {"path": F.col("source"), "header": F.col("lang"), "file_symbol": F.lit(""), "local_symbol": F.lit(""), "body": F.col("text")}
+    return rows.select("doc_id", "query_id", *(F.round(S.fielded_score(F.col("query"), F.col("q"), fields, w), 6).alias(name) for name, w in CODE_WEIGHTS.items()))
+
+
+def whole_document_score(spark, sf):
+    q = _texts(spark).select("query_id", "query", X.tokens("query").alias("q"))
+    rows = _t(spark, sf, "documents").select("doc_id", "source", "text").join(F.broadcast(q))
+    return rows.select("doc_id", "query_id", F.round(S.whole_document_score(F.col("query"), F.col("q"), F.col("text"), F.col("source")), 6).alias("score"))
+
+
+def _hybrid(spark, sf, options=None) -> DataFrame:
+    return search.scored(_corpus(spark, sf), _queries(spark, sf), search.CODE_FIELDS, CODE_WEIGHTS, options or S.SearchOptions())
+
+
+def hybrid_search(spark, sf):
+    best = search.top(_hybrid(spark, sf), 10, F.desc("score"), F.desc("lexical"), F.desc("semantic"), "path_text", "doc_id")
+    return best.select("query_id", "rank", "doc_id", "score", "semantic", "lexical")
+
+
+def score_thresholds(spark, sf):
+    o = S.SearchOptions(min_semantic=5, min_keyword=0.2, min_combined=25, require_keyword=True)
+    return _hybrid(spark, sf, o).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def diversify_results(spark, sf):
+    v = _vectors(spark, sf)
+    d = _t(spark, sf, "documents").join(v, F.col("doc_id") == F.col("vec_id"))
+    d = d.select("doc_id", "source", "vector", F.posexplode(chunking.text_chunks(X.lines("text"))).alias("ordinal", "c"))
+    blank = {c: F.lit("") for c in ("header_text", "file_symbol_text", "local_symbol_text")}
+    chunks = d.select(F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), F.col("source").alias("relative_path"), F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.col("c.content").alias("content"), F.col("source").alias("path_text"), F.col("c.content").alias("body_text"), F.concat_ws("-", "doc_id", "ordinal").alias("embedding_id"), "vector").withColumns(blank)
+    return search.search_code(chunks.drop("vector"), chunks.select("embedding_id", "vector"), _queries(spark, sf))
+
+
+def intent_classify(spark, sf):
+    b = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    own = _texts(spark, INTENTS).select((F.col("query_id") - 100).alias("query_id"), "query")
+    return b.unionByName(own).select("query_id", intent(F.col("query")).alias("intent"))
+
+
+def identifier_promotion(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.col("p_brand").alias("header_text"), (F.col("p_size") / 100).alias("score"))
+    hits = p.withColumn("query_id", F.lit(0)).crossJoin(F.broadcast(_t(spark, sf, "part").where("p_partkey <= 5").select(F.col("p_name").alias("query"), F.col("p_partkey").alias("q")))).drop("query_id")
+    return search.top(search.promoted(hits).withColumnRenamed("q", "query_id"), 10, F.desc("score"), "p_partkey").select("query_id", "rank", "p_partkey", "score")
+
+
+def identifier_search(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("symbol_name"), F.concat(F.lit("def "), F.col("p_name")).alias("signature_text"), F.col("p_brand").alias("header_text"), F.col("p_type").alias("path_text"))
+    p = p.join(_vectors(spark, sf), F.col("p_partkey") == F.col("vec_id"))
+    docs = p.select(F.col("p_partkey").cast("string").alias("embedding_id"), F.col("path_text").alias("relative_path"), "symbol_name", F.col("symbol_name").alias("symbol_name_text"), "signature_text", "header_text", "path_text", F.concat_ws(" ", "header_text", "symbol_name").alias("context_text"), F.col("p_partkey").cast("int").alias("start_line"), F.col("p_partkey").cast("int").alias("end_line"), "vector")
+    return search.search_identifiers(docs.drop("vector"), docs.select("embedding_id", "vector"), _queries(spark, sf))
+
+
+def kind_inference(spark, sf):
+    own = spark.createDataFrame([(s,) for s in SIGNATURES], "signature string")
+    more = _t(spark, sf, "part").select(F.concat(F.element_at(F.array(*map(F.lit, ("class ", "type ", "let ", "x function ", ""))), (F.col("p_partkey") % 5 + 1).cast("int")), F.col("p_name")).alias("signature"))
+    return own.unionByName(more).groupBy("signature").agg(F.first(S.inferred_kind(F.col("signature"))).alias("kind"))
+
+
+# Snapshots and tables.
+
+
+def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers now, and as they were: some unknown, some gone since, some different, some null."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    was = c.where("c_custkey % 7 != 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 11 == 0, F.col("c_acctbal") + 1).when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.col("c_acctbal")))
+    return c.where("c_custkey % 5 != 0"), was
+
+
+def refresh_plan(spark, sf):
+    now, was = _snapshots(spark, sf)
+    return changes.refresh_plan(now, was, "c_custkey", ["c_acctbal", "c_mktsegment"])
+
+
+def manifest_upsert(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X"))
+    return changes.upserted(o.where("o_orderkey % 2 = 0"), new, "o_orderkey")
+
+
+def replace_file_rows(spark, sf):
+    """Line items as documents of their orders (files): some orders changed, some are gone."""
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    changed = orders.where("l_orderkey % 10 = 0")
+    new = lines.where("l_orderkey % 10 = 0 and l_linenumber = 1").withColumn("l_quantity", F.lit(0.0))
+    return changes.replaced(lines, new, changed, orders.where("l_orderkey % 4 != 0"), "l_orderkey").groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+def orphan_embeddings(spark, sf):
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return changes.orphans(e, "doc_id", _t(spark, sf, "labels"), _t(spark, sf, "documents").where("doc_id % 2 = 0"))
+
+
+def reference_counts(spark, sf):
+    d, labels = _t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels").select("doc_id")
+    return changes.reference_counts("doc_id", d, labels)
+
+
+def embedding_cache_misses(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+    known = _t(spark, sf, "documents").where("doc_id % 3 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+    return misses(d, known).select("text_sha")
+
+
+def status_counts(spark, sf):
+    one = lambda n: _t(spark, sf, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n")
+    out = one("documents")
+    for n in ("embeddings", "labels", "pages", "conversations"):
+        out = out.unionAll(one(n))
+    return out
+
+
+def metadata_rows(spark, sf):
+    """Whether stored settings (a struct of fields, here of parts) differ from the wanted ones."""
+    p = _t(spark, sf, "part")
+    old = F.struct("p_brand", "p_size")
+    new = F.struct("p_brand", F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"))
+    return p.select("p_partkey", changes.needs_rebuild(old, new).alias("rebuild"))
+
+
+# Paths and usages.
+
+
+def symbol_usages(spark, sf):
+    """Documents as files that define nothing; usages of one word in all files but one source's."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.col("text").alias("content"), F.array().cast(documents.SYMBOLS).alias("symbols"))
+    return impact.usages(d, "worthless", "5")
+
+
+def _paths(spark, sf) -> DataFrame:
+    return _t(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("relative_path"))
+
+
+def directory_tree(spark, sf):
+    return directories(_paths(spark, sf))
+
+
+def files_by_directory(spark, sf):
+    return by_directory(_paths(spark, sf)).select("directory", F.size("paths").cast("long").alias("n"), F.array_join("paths", ",").alias("paths"))
+
+
+def path_scope(spark, sf):
+    p = _paths(spark, sf).withColumn("host", F.split("relative_path", "/")[0])
+    return p.select("relative_path", search.in_scope(F.col("relative_path"), "./").alias("everything"), search.in_scope(F.col("relative_path"), "site1.example.com/").alias("one_host"))
+
+
+_NAMES = (
+    tokenize_counts, term_frequency_topk, squeezed_names, header_lines, line_explode, content_ids, snippet_preview, join_text_parts, token_budget, namespace_slugs,
+    greedy_line_chunks, paragraph_chunks, markdown_sections, symbol_chunks, chunk_fields, cosine_topk, vectors_join, fielded_keyword_score, whole_document_score,
+    hybrid_search, score_thresholds, diversify_results, intent_classify, identifier_promotion, identifier_search, kind_inference, refresh_plan, manifest_upsert,
+    replace_file_rows, orphan_embeddings, reference_counts, embedding_cache_misses, status_counts, metadata_rows, symbol_usages, directory_tree, files_by_directory, path_scope,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessellar import oracles
+
+    return oracles.sql(TEXTS, INTENTS, SIGNATURES, CODE_WEIGHTS, IDENTIFIER_WEIGHTS)
