@@ -152,17 +152,19 @@ def vectors_join(spark, sf):
 
 
 def fielded_keyword_score(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    q = _texts(spark).select("query_id", "query", X.tokens("query").alias("q"))
-    rows = d.join(F.broadcast(q))
-    fields = {"path": F.col("source"), "header": F.col("lang"), "file_symbol": F.lit(""), "local_symbol": F.lit(""), "body": F.col("text")}
-    return rows.select("doc_id", "query_id", *(F.round(S.fielded_score(F.col("query"), F.col("q"), fields, w), 6).alias(name) for name, w in CODE_WEIGHTS.items()))
+    """Sources as paths, languages as headers, texts as bodies; the score of each pair under each intent's weights."""
+    fields = {"path": "source", "header": "lang", "file_symbol": "none", "local_symbol": "none", "body": "text"}
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", "text").withColumn("none", F.lit(""))
+    q = _texts(spark).select("query_id", "query", X.tokens("query").alias("__terms"))
+    rows = search.field_scores(search.with_terms(d, fields).join(F.broadcast(q)), fields)
+    columns, scores = {n: F.col(c) for n, c in fields.items()}, {n: F.col(f"__score_{n}") for n in fields}
+    return rows.select("doc_id", "query_id", *(F.round(S.weighted_mean(scores, columns, w), 6).alias(name) for name, w in CODE_WEIGHTS.items()))
 
 
 def whole_document_score(spark, sf):
     q = _texts(spark).select("query_id", "query", X.tokens("query").alias("q"))
-    rows = _t(spark, sf, "documents").select("doc_id", "source", "text").join(F.broadcast(q))
-    return rows.select("doc_id", "query_id", F.round(S.whole_document_score(F.col("query"), F.col("q"), F.col("text"), F.col("source")), 6).alias("score"))
+    rows = _t(spark, sf, "documents").select("doc_id", "source", "text", X.terms("text").alias("t")).join(F.broadcast(q))
+    return rows.select("doc_id", "query_id", F.round(S.whole_document_score(F.col("query"), F.col("q"), F.col("text"), F.col("source"), F.col("t")), 6).alias("score"))
 
 
 def _hybrid(spark, sf, options=None) -> DataFrame:

@@ -47,31 +47,40 @@ def phrase(query: Column, text: Column) -> Column:
     return F.when((q != "") & F.lower(text).contains(q), F.lit(PHRASE_SHARE)).otherwise(F.lit(0.0))
 
 
-def field_score(query: Column, query_terms: Column, text: Column) -> Column:
-    return F.when(text == "", F.lit(0.0)).otherwise(clamp(COVERAGE_SHARE * coverage(query_terms, terms(text)) + phrase(query, text)))
+def field_score(query: Column, query_terms: Column, text: Column, text_terms: Column | None = None) -> Column:
+    known = terms(text) if text_terms is None else text_terms
+    return F.when(text == "", F.lit(0.0)).otherwise(clamp(COVERAGE_SHARE * coverage(query_terms, known) + phrase(query, text)))
+
+
+def weighted_mean(scores: dict[str, Column], fields: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Mean of the field scores by weight, over the fields that have text; 0 where none has."""
+    total, over = F.lit(0.0), F.lit(0.0)
+    for name, w in weights.items():
+        if w > 0:
+            has = fields[name] != ""
+            total = total + F.when(has, w * scores[name]).otherwise(F.lit(0.0))
+            over = over + F.when(has, F.lit(w)).otherwise(F.lit(0.0))
+    return F.when(over <= 0, F.lit(0.0)).otherwise(total / over)
 
 
 def fielded_score(query: Column, query_terms: Column, fields: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted mean of the scores of the fields that have text; 0 without terms or without such fields."""
-    used = [(fields[name], w) for name, w in weights.items() if w > 0]
-    total, over = F.lit(0.0), F.lit(0.0)
-    for text, w in used:
-        total = total + F.when(text != "", w * field_score(query, query_terms, text)).otherwise(F.lit(0.0))
-        over = over + F.when(text != "", F.lit(w)).otherwise(F.lit(0.0))
-    return F.when((F.size(query_terms) == 0) | (over <= 0), F.lit(0.0)).otherwise(total / over)
+    scores = {name: field_score(query, query_terms, text) for name, text in fields.items()}
+    return F.when(F.size(query_terms) == 0, F.lit(0.0)).otherwise(weighted_mean(scores, fields, weights))
 
 
-def profiled_score(query: Column, query_terms: Column, intent: Column, fields: dict[str, Column], profiles: dict[str, dict[str, float]]) -> Column:
-    """fielded_score with the weights of each row's intent."""
+def profiled_mean(intent: Column, scores: dict[str, Column], fields: dict[str, Column], profiles: dict[str, dict[str, float]]) -> Column:
+    """weighted_mean with the weights of each row's intent."""
     out = F.lit(0.0)
     for name, weights in profiles.items():
-        out = F.when(intent == name, fielded_score(query, query_terms, fields, weights)).otherwise(out)
+        out = F.when(intent == name, weighted_mean(scores, fields, weights)).otherwise(out)
     return out
 
 
-def whole_document_score(query: Column, query_terms: Column, document: Column, symbols: Column) -> Column:
+def whole_document_score(query: Column, query_terms: Column, document: Column, symbols: Column, document_terms: Column | None = None) -> Column:
     """An older score of a document as one text and its symbols as another."""
-    got = 0.65 * coverage(query_terms, terms(document)) + 0.20 * coverage(query_terms, terms(symbols)) + phrase(query, document)
+    known = terms(document) if document_terms is None else document_terms
+    got = 0.65 * coverage(query_terms, known) + 0.20 * coverage(query_terms, terms(symbols)) + phrase(query, document)
     return F.when(F.size(query_terms) == 0, F.lit(0.0)).otherwise(clamp(got))
 
 

@@ -46,17 +46,28 @@ def against(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (corpus.join(F.broadcast(of(k))) for k in range(blocks)))
 
 
+def with_terms(corpus: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """corpus with the different terms of each field, cut once for each row, however many queries follow."""
+    return corpus.withColumns({f"__terms_{name}": terms(c) for name, c in fields.items()})
+
+
+def field_scores(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """rows of with_terms and prepared queries, with each field's score and the number of query terms in their place."""
+    score = {f"__score_{n}": S.field_score(F.col("query"), F.col("__terms"), F.col(c), F.col(f"__terms_{n}")) for n, c in fields.items()}
+    return rows.withColumns(score).drop(*(f"__terms_{n}" for n in fields))
+
+
 def scored(corpus: DataFrame, queries: DataFrame, fields: dict[str, str], profiles: dict, options: S.SearchOptions) -> DataFrame:
     """Rows that pass the thresholds, with semantic, lexical and combined score, all rounded."""
-    rows = against(corpus.withColumn("__vn", S.norm(F.col("vector"))), queries)
-    columns = {name: F.col(c) for name, c in fields.items()}
+    rows = field_scores(against(with_terms(corpus, fields).withColumn("__vn", S.norm(F.col("vector"))), queries), fields)
+    columns, scores = {n: F.col(c) for n, c in fields.items()}, {n: F.col(f"__score_{n}") for n in fields}
     semantic = S.cosine(F.col("vector"), F.col("__qv"), F.col("__vn"), F.col("__qn"))
-    rows = rows.withColumn("semantic", semantic).withColumn("lexical", S.profiled_score(F.col("query"), F.col("__terms"), F.col("intent"), columns, profiles))
+    lexical = F.when(F.size("__terms") == 0, F.lit(0.0)).otherwise(S.profiled_mean(F.col("intent"), scores, columns, profiles))
+    rows = rows.withColumns({"semantic": semantic, "lexical": lexical})
     rows = rows.withColumn("score", S.combined(F.col("semantic"), F.col("lexical"), options))
     rows = rows.where(S.passes(F.col("semantic"), F.col("lexical"), F.col("score"), options))
-    for c in ("score", "semantic", "lexical"):
-        rows = rows.withColumn(c, F.round(c, S.DIGITS))
-    return rows.drop("__vn", "__qv", "__qn", "__terms", "vector")
+    rows = rows.withColumns({c: F.round(c, S.DIGITS) for c in ("score", "semantic", "lexical")})
+    return rows.drop("__vn", "__qv", "__qn", "__terms", "vector", *(f"__score_{n}" for n in fields))
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:
