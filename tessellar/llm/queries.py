@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import decontam, licenses, lm, media, mixing, pii, secrets, simhash, toxicity
+from tessellar.llm import decontam, licenses, lm, media, mixing, pii, secrets, simhash, suffix, toxicity
 from tessellar.llm.common import batch_rows, documents
 
 
@@ -13,6 +13,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark)
+    return suffix.remove(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark)
     return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -51,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_media": op1_media, "op3_decontamination": op3_decontamination, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    return {"op1_media": op1_media, "op2_suffix_dedup": op2_suffix_dedup, "op3_decontamination": op3_decontamination, "op4_mixing": op4_mixing, "op5_lm_scoring": op5_lm_scoring, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
