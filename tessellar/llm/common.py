@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, code
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stored(), in as many buckets of key as there are shuffle partitions: later joins on key leave these rows where they are."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

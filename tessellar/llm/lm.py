@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import stored
+from tessellar.llm.common import bucketed
 from tessellar.llm.words import mix, word_hashes
 
 ORDER = 3
@@ -54,7 +54,7 @@ def ngram_hashes(words: np.ndarray, starts: np.ndarray, order: int) -> np.ndarra
 
 
 def pack(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences, the bytes of equal weight together."""
+    """Hashes (mostly rising) as differences modulo 2**64, the bytes of equal weight together."""
     d = np.diff(h, prepend=np.uint64(0))
     return d.view(np.uint8).reshape(-1, 8).T.tobytes() if len(h) else b""
 
@@ -73,6 +73,15 @@ def _wide(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, the bytes of equal weight together: frequent words have small numbers, so the upper planes pack well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if len(x) else b""
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) if b else np.zeros(0, np.int64)
+
+
 class Batch:
     """Words of some documents, and the distinct n-grams of each order in them."""
 
@@ -99,8 +108,11 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         nonlocal made
-        vocabulary, tokens = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
-        row = ((part << 32) + made, ids, _narrow(np.array(sizes, np.int64)), pack(vocabulary), _narrow(tokens), len(tokens))
+        vocabulary, tokens, times = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        order = np.lexsort((vocabulary, -np.log2(np.maximum(times, 1)).astype(int)))  # frequent words first, sorted where about as frequent
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        row = ((part << 32) + made, ids, _narrow(np.array(sizes, np.int64)), pack(vocabulary[order]), _planes(number[tokens]), len(tokens))
         made += 1
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["batch", "ids", "sizes", "vocabulary", "tokens", "n"])
@@ -120,13 +132,14 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(row: dict) -> Batch:
-    return Batch(unpack(row["vocabulary"]), _wide(row["tokens"]), _wide(row["sizes"]))
+    return Batch(unpack(row["vocabulary"]), _from_planes(row["tokens"]), _wide(row["sizes"]))
 
 
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, score (mean log of stupid-backoff scores; null without words) for each row of df."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = stored(rows.mapInArrow(_tokenised, "batch long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long"), "lm-batches")
+    batches_ = rows.mapInArrow(_tokenised, "batch long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long")
+    table = bucketed(batches_, "lm_batches", "batch")
     total = table.agg(F.sum("n")).first()[0] or 0
     buckets = max(32, -(-total // BUCKET))
     bits = min(64, max(32, int(total).bit_length() + SPARE))
