@@ -99,7 +99,7 @@ def namespace_slugs(spark, sf):
 
 
 def greedy_line_chunks(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.text_chunks(X.lines("text"))).alias("ordinal", "c"))
+    d = _t(spark, sf, "documents").select("doc_id", X.lines("text").alias("l")).select("doc_id", F.posexplode(chunking.text_chunks(F.col("l"))).alias("ordinal", "c"))
     return d.select("doc_id", "ordinal", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.length("c.content").alias("n_chars"), F.md5(F.col("c.content").cast("binary")).alias("digest"))
 
 

@@ -18,9 +18,8 @@ def _col(c: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """The lines of a text; a break at the very end opens no further line. Null and empty: no lines."""
-    parts = F.split(F.coalesce(_col(text), F.lit("")), LINE_BREAK, -1)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    t = F.coalesce(_col(text), F.lit(""))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1))
 
 
 def strip(text: Column | str) -> Column:

@@ -35,10 +35,12 @@ def paragraph_pieces(text_lines: Column, budget: int = BUDGET) -> Column:
 
     def step(a: Column, line: Column) -> Column:
         joined = F.concat(a["open"], F.lit("\n"), line["x"])
+        # Stripping can only shorten: most lines are decided without it.
+        long = (F.length(joined) > budget) & (F.length(strip(joined)) > budget)
         return (
-            F.when(strip(line["x"]) == "", state(closed(a), F.lit(""), F.lit(0), F.lit(0)))
+            F.when(~line["x"].rlike(r"(?U)\S"), state(closed(a), F.lit(""), F.lit(0), F.lit(0)))
             .when(a["start"] == 0, state(a["done"], line["x"], line["n"], line["n"]))
-            .when(F.length(strip(joined)) > budget, state(closed(a), line["x"], line["n"], line["n"]))
+            .when(long, state(closed(a), line["x"], line["n"], line["n"]))
             .otherwise(state(a["done"], joined, a["start"], line["n"]))
         )
 
