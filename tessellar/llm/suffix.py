@@ -13,8 +13,11 @@ A window is WINDOW bytes of one document. Equal windows hold the same GRAM-byte
    classified, leftmost smaller substrings sorted recursively and all suffixes induced from them, and
    the permuted common prefix of each window with its predecessor tells which ones repeat.
    An anchor with more than CONTEXTS different contexts is cut finer first: into halves of its
-   windows' range, each by the bytes common to that half. Anchors of more than hot(...) occurrences are
-   sent as single windows, counted like same contexts, so that no task ever holds a whole hot group.
+   windows' range, each by the bytes common to that half. Occurrences of anchors with more than hot(...)
+   of them are cut into ranges of STRETCH windows instead, which are counted by the bytes common to the
+   range: once, and all its windows are unique; always in the same context, and all repeat; the few
+   others, at the ends of a common passage, are counted window by window. So no task ever holds a whole
+   hot group.
 3. Runs of repeated windows are joined to their documents, which remove the bytes they cover.
 
 Null texts count as empty; texts shorter than WINDOW lose nothing. Repeated rows repeat each other.
@@ -39,6 +42,7 @@ REACH = WINDOW - GRAM + 1  # windows that can share an anchor
 PIECE = 1 << 20
 CONTEXTS = 64
 HOT = 20_000
+STRETCH = 8
 SYMBOLS = 2_000_000  # of the strings that one call sorts
 BLOOM_BITS = 26
 
@@ -202,6 +206,32 @@ TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
 SCHEMA = "h long, ctx long, kind int, doc_id long, th long, start long, n int, place int, data binary"
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) * (x >> 63)
+
+
+def _stretches(raw: bytes, place: int, start: int, n: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(hash of the common bytes, hash of all bytes, first window, windows, 0, all bytes) of each range of windows, cut at fixed distances from the anchor."""
+    near, far = place - start - n + 1, place - start
+    for g in range(near // STRETCH, far // STRETCH + 1):
+        low, high = max(near, g * STRETCH), min(far, g * STRETCH + STRETCH - 1)
+        core = raw[place - g * STRETCH : place - g * STRETCH - STRETCH + 1 + WINDOW]
+        data = raw[place - high : place - low + WINDOW]
+        yield _signed(xxhash.xxh64_intdigest(core, g + 1)), _signed(xxhash.xxh64_intdigest(data, high)), place - high, high - low + 1, 0, data
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each stretch with two hashes of it."""
+    for b in batches:
+        out: list = [[], [], [], [], [], []]
+        for d, th, start, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for k in range(n):
+                w = data[k : k + WINDOW]
+                for c, v in zip(out, (_signed(xxhash.xxh64_intdigest(w)), _signed(xxhash.xxh64_intdigest(w, 1)), d, th, start + k, 1), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h", "ctx", "doc_id", "th", "start", "n"])
+
+
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, start, end): covered stretches (bytes, end exclusive) of the text with that id and hash; they may overlap."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.octet_length("text") >= WINDOW)
@@ -235,7 +265,6 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
             for d, th, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = t.encode()
-                single = None
                 for h, place, first, n in anchors(raw):
                     in_mixed = np.logical_and.reduce([mixed[p] for p in _bits(h)])
                     in_same = np.logical_and.reduce([same[p] for p in _bits(h)])
@@ -243,21 +272,23 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     for k in np.flatnonzero(in_mixed | in_same).tolist():
                         s, m = int(first[k]), int(n[k])
                         if is_hot[k]:
-                            if single is None:
-                                data = np.frombuffer(raw, np.uint8)
-                                single = (rolling(data, WINDOW).view(np.int64), rolling(data, WINDOW, 0xD6E8FEB86659FD93).view(np.int64))
-                            for w in range(s, s + m):
-                                put(int(single[0][w]), int(single[1][w]), 0, d, th, w, 1, 0, None)
+                            for row in _stretches(raw, int(place[k]), s, m):
+                                put(row[0], row[1], 2, d, th, *row[2:])
                             continue
                         part = raw[s : s + m + WINDOW - 1]
                         ctx = xxhash.xxh64_intdigest(part)
-                        put(int(h[k].view(np.int64)), ctx - (1 << 64) * (ctx >> 63), int(in_mixed[k]), d, th, s, m, int(place[k]) - s, part if in_mixed[k] else None)
+                        put(int(h[k].view(np.int64)), _signed(ctx), int(in_mixed[k]), d, th, s, m, int(place[k]) - s, part if in_mixed[k] else None)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, TYPES, strict=True)], names=list(NAMES))
 
     passed = stored(rows.mapInArrow(sent, SCHEMA), "contexts", partition_by=["kind"])
-    plain = passed.where("kind = 0").select("h", "ctx", "doc_id", "th", "start", "n")
+    cut = passed.where("kind = 2")
+    ranges = cut.groupBy("h").agg(F.count("*").alias("times"), (F.min("ctx") == F.max("ctx")).alias("same")).where("times > 1").select("h", "same")
+    cut = stored(cut.join(ranges, "h").select("doc_id", "th", "start", F.col("n").cast("long").alias("n"), F.when(~F.col("same"), F.col("data")).alias("data")), "stretches")
+    each = cut.where("data is not null").mapInArrow(_single, "h long, ctx long, doc_id long, th long, start long, n long")
+    plain = passed.where("kind = 0").select("h", "ctx", "doc_id", "th", "start", F.col("n").cast("long").alias("n")).unionByName(each)
     twice = plain.groupBy("h", "ctx").agg(F.count("*").alias("times")).where("times > 1").select("h", "ctx")
-    exact = plain.join(twice, ["h", "ctx"], "left_semi").select("doc_id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
+    known_runs = plain.join(twice, ["h", "ctx"], "left_semi").drop("h", "ctx").unionByName(cut.where("data is null").drop("data"))
+    exact = known_runs.select("doc_id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor; as many anchors as make a good shard are sorted together."""
