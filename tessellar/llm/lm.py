@@ -213,4 +213,4 @@ def _word_scores(batch: Batch, answers: list[dict], total: int, bits: int = 64)
 
 
 def report(df: DataFrame) -> DataFrame:
-    return score(df).select("doc_id", "n_words", F.round("score", 9).alias("score"))
+    return score(df).select("doc_id", "n_words", F.round("score", 6).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import decontam, licenses, lm, media, mixing, pii, secrets, simhash, suffix, toxicity
+from tessellar.llm import decontam, licenses, lm, media, mixing, oracles, pii, secrets, simhash, suffix, toxicity
 from tessellar.llm.common import batch_rows, documents
 
 
@@ -60,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
