@@ -30,11 +30,13 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, words of each text)."""
+def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, words of each text). With prefixes: a column for the words and one for each length of
+    prefix, in bytes (of shorter words: the word)."""
     encoded = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
+    none = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
     if not encoded:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none, np.zeros(0, np.int64)
     data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
     word = _IS_WORD[data]
     edge = np.flatnonzero(np.diff(word, prepend=False))
@@ -42,9 +44,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum([0] + [len(e) + 1 for e in encoded])
     counts = np.diff(np.searchsorted(starts, begins))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return none, counts
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
     value = (data[word].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(value, first)), counts
+    whole = mix(np.add.reduceat(value, first))
+    if not prefixes:
+        return whole, counts
+    parts = [mix(np.add.reduceat(np.where(place < k, value, np.uint64(0)), first) + np.uint64(k)) for k in prefixes]
+    return np.stack([whole, *parts], axis=1), counts

@@ -318,7 +318,7 @@ def test_toxicity(spark, docs, empty):
 
 def test_long_documents_score_as_short_ones():
     r = random.Random(1)
-    docs_ = [word_hashes([prose(r, 30) + (" vile" if i % 2 else "")])[0] for i in range(60)]
+    docs_ = [word_hashes([prose(r, 30) + (" vile" if i % 2 else "")], toxicity.PREFIXES)[0] for i in range(60)]
     m = toxicity.train(docs_, np.array([i % 2 for i in range(60)]), ["en"] * 60, 0.5)
     long = np.concatenate([docs_[0]] * 40 + [docs_[1]] + [docs_[2]] * 40)
     whole = toxicity.score(m, [long])
