@@ -9,7 +9,7 @@ wherever it stands.
 2. Digests that occur more than once are found by a grouped count. They go into a Bloom filter of
    fixed size, the one thing that is broadcast; false positives only send a chunk the longer way.
 3. A second pass writes the store: chunks that occur once stay together in their file's pack, the
-   others become rows that are deduplicated by digest.
+   others become rows that are deduplicated by digest. What will be shuffled is compressed first.
 4. Reading back, packs that miss no chunk are read as they are; for the others a join on the digest
    brings the shared chunks, and the ordered list puts the file together. Every chunk's digest and
    the file's digest are verified before features are computed, once for each different file; the
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,7 @@ def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
+        pack = zstandard.ZstdCompressor(level=3).compress
         kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         names = ["kind", "media", "hi", "lo", "his", "los", "sizes", "data"]
         for b in batches:
@@ -174,11 +176,11 @@ def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
                     continue
                 # Sizes: of a chunk in the pack; -1: the chunk is a row of its own.
                 sizes = [-1 if a else len(c[2]) for a, c in zip(again, chunks, strict=True)]
-                out.append((1, name, None, None, his, los, sizes, b"".join(c[2] for a, c in zip(again, chunks, strict=True) if not a)))
+                out.append((1, name, None, None, his, los, sizes, pack(b"".join(c[2] for a, c in zip(again, chunks, strict=True) if not a))))
                 for a, c in zip(again, chunks, strict=True):
                     if a and c[:2] not in seen:
                         seen.add(c[:2])
-                        out.append((2, None, c[0], c[1], None, None, None, c[2]))
+                        out.append((2, None, c[0], c[1], None, None, None, pack(c[2])))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -198,13 +200,14 @@ def read_back(whole: DataFrame, packs: DataFrame, chunks: DataFrame) -> DataFram
             yield _read_back(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
 
     def from_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
             for r in b.to_pylist():
-                lent = {c["at"]: c["data"] for c in r["lent"]}
+                lent, own = {c["at"]: unpack(c["data"]) for c in r["lent"]}, unpack(r["data"])
                 at, pieces = 0, []
                 for i, (hi, lo, size) in enumerate(zip(r["his"], r["los"], r["sizes"], strict=True)):
-                    piece = lent[i] if size < 0 else r["data"][at : at + size]
+                    piece = lent[i] if size < 0 else own[at : at + size]
                     at += max(size, 0)
                     if digest(piece) != (hi, lo):
                         raise ValueError("a stored chunk differs from its digest")
