@@ -63,11 +63,14 @@ def scored(corpus: DataFrame, queries: DataFrame, fields: dict[str, str], profil
     columns, scores = {n: F.col(c) for n, c in fields.items()}, {n: F.col(f"__score_{n}") for n in fields}
     semantic = S.cosine(F.col("vector"), F.col("__qv"), F.col("__vn"), F.col("__qn"))
     lexical = F.when(F.size("__terms") == 0, F.lit(0.0)).otherwise(S.profiled_mean(F.col("intent"), scores, columns, profiles))
-    rows = rows.withColumns({"semantic": semantic, "lexical": lexical})
-    rows = rows.withColumn("score", S.combined(F.col("semantic"), F.col("lexical"), options))
-    rows = rows.where(S.passes(F.col("semantic"), F.col("lexical"), F.col("score"), options))
-    rows = rows.withColumns({c: F.round(c, S.DIGITS) for c in ("score", "semantic", "lexical")})
-    return rows.drop("__vn", "__qv", "__qn", "__terms", "vector", *(f"__score_{n}" for n in fields))
+    # As an array of at most one struct, each score is computed once; as columns, the filter would be pushed below
+    # them with copies of all they are made of.
+    pair = F.array(F.struct(semantic.alias("semantic"), lexical.alias("lexical")))
+    three = F.transform(pair, lambda x: F.struct(x["semantic"].alias("semantic"), x["lexical"].alias("lexical"), S.combined(x["semantic"], x["lexical"], options).alias("score")))
+    kept = F.filter(three, lambda x: S.passes(x["semantic"], x["lexical"], x["score"], options))
+    shown = [c for c in rows.columns if not c.startswith("__") and c != "vector"]
+    rows = rows.select(*shown, F.explode(kept).alias("__s"))
+    return rows.select(*shown, *(F.round(F.col(f"__s.{c}"), S.DIGITS).alias(c) for c in ("score", "semantic", "lexical")))
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:
