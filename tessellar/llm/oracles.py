@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessellar.llm import licenses
+import re
+
+from tessellar.llm import licenses, secrets
 
 BACKOFF_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
@@ -41,5 +43,30 @@ SELECT doc_id, license, round(max(dice), 6) AS dice, min(line)::INTEGER AS line
 """
 
 
+def secrets_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [("assign", secrets.ASSIGN, "length(g) >= 8"), ("access", secrets.ACCESS, "true"), ("hex", secrets.HEX, "true")]
+    allowed = secrets.ALLOW.replace(r"^(.)\1+$|", "")
+    for kind, pattern, bits in secrets.ENTROPY_CLASSES:
+        windows = f"list_transform(range(1, length(g) - {secrets.WINDOW - 2}), lambda i: list_aggregate(string_split(g, '')[i : i + {secrets.WINDOW - 1}], 'entropy'))"
+        plain = f"NOT regexp_matches(g, {quote(allowed)}) AND len(list_distinct(string_split(g, ''))) > 1"
+        kinds.append((kind, re.sub(r"\(\?<![^)]*\)", "", pattern), f"{plain} AND list_max({windows}) >= {bits}"))
+    parts = " UNION ALL ".join(
+        f"""SELECT r, {rank} AS rank, '{kind}' AS kind, list_sum(gaps[1 : i]) + coalesce(list_sum(lens[1 : i - 1]), 0) AS s, list_sum(gaps[1 : i]) + list_sum(lens[1 : i]) AS e FROM (
+          SELECT r, unnest(range(1, len(ms) + 1)) AS i, unnest(gs) AS g, gaps, lens FROM (
+            SELECT r, regexp_extract_all(text, {quote(rx)}, 0) AS ms, regexp_extract_all(text, {quote(rx)}, 1) AS gs,
+              list_transform(string_split_regex(text, {quote(rx)}), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, {quote(rx)}, 0), lambda x: length(x)) AS lens
+            FROM t WHERE regexp_matches(text, {quote(rx)}))) WHERE {keep}"""
+        for rank, (kind, rx, keep) in enumerate(kinds)
+    )
+    joined = lambda cond: f"coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) FILTER (WHERE {cond}), '')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS ({parts})
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256({joined('rank < 3')}) AS base_sha256, {joined('rank IS NOT NULL')} AS spans
+FROM t LEFT JOIN m USING (r) GROUP BY r
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
+    return {"op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
