@@ -28,6 +28,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(s.score, 6) AS score FROM d
 """
 
 
+#: Windows by the digest of their 400 hexadecimal digits; runs of covered bytes as islands of window starts.
+REPEATS_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM (SELECT r, h, unnest(range(1, len(h) // 2 - 198)) AS i FROM t)),
+c AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS f FROM c),
+s AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+x AS (SELECT r, run, min(i) AS a, max(i) + 199 AS b FROM s GROUP BY r, run),
+y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM x),
+z AS (SELECT y.r, sum(b - a + 1) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p - 1)), '' ORDER BY a) AS kept FROM y JOIN t ON y.r = t.r GROUP BY y.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, (len(h) // 2 - coalesce(gone, 0))::BIGINT AS n_kept
+FROM t LEFT JOIN z ON t.r = z.r
+"""
+
+
 def licenses_sql(templates=licenses.TEMPLATES, dice: float = licenses.DICE) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(name)}, [{', '.join(map(quote, licenses.template_bigrams(t)))}])" for name, t in templates)
@@ -69,4 +85,4 @@ FROM t LEFT JOIN m USING (r) GROUP BY r
 
 
 def sql() -> dict[str, str]:
-    return {"op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
+    return {"op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
