@@ -35,10 +35,14 @@ def suffix_arrays(t: np.ndarray, off: np.ndarray) -> np.ndarray:
     starts = ends - sizes
     alive = np.searchsorted(-lens, -np.arange(int(lens[0])), side="left").tolist()  # strings longer than i
     first, stop = off[:-1].astype(np.int32), (off[1:] - 1).astype(np.int32)
+    # The suffix that each one induces in either scan, -1 for none; place n stands for a slot that is still empty.
+    before = np.append(at - 1, -1).astype(np.int32)
+    before[off[:-1]] = -1
+    large_before, small_before = (np.where((before >= 0) & (small[before] == kind), before, -1).astype(np.int32) for kind in (False, True))
 
     def induced(order: np.ndarray) -> np.ndarray:
         """All suffixes from the leftmost small ones in this order (string by string)."""
-        sa = np.full(n, -1, np.int32)
+        sa = np.full(n, n, np.int32)
         b = bucket[order]
         by = np.argsort(b, kind="stable")
         b = b[by]
@@ -47,24 +51,20 @@ def suffix_arrays(t: np.ndarray, off: np.ndarray) -> np.ndarray:
         sa[ends[b] - np.repeat(counts, counts) + np.arange(len(b)) - np.repeat(group, counts)] = order[by]
         free = starts.copy()
         for i, m in enumerate(alive):
-            p = sa[first[:m] + i]
-            q = p[p > first[:m]] - 1
-            q = q[~small[q]]
-            if len(q):
-                k = bucket[q]
-                to = free[k]
-                sa[to] = q
-                free[k] = to + 1
+            q = large_before[sa[first[:m] + i]]
+            q = q[q >= 0]
+            k = bucket[q]
+            to = free[k]
+            sa[to] = q
+            free[k] = to + 1
         free = ends.copy()
         for i, m in enumerate(alive):
-            p = sa[stop[:m] - i]
-            q = p[p > first[:m]] - 1
-            q = q[small[q]]
-            if len(q):
-                k = bucket[q]
-                to = free[k] - 1
-                sa[to] = q
-                free[k] = to
+            q = small_before[sa[stop[:m] - i]]
+            q = q[q >= 0]
+            k = bucket[q]
+            to = free[k] - 1
+            sa[to] = q
+            free[k] = to
         return sa
 
     places = np.flatnonzero(leftmost).astype(np.int32)

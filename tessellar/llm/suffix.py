@@ -14,10 +14,11 @@ A window is WINDOW bytes of one document. Equal windows hold the same GRAM-byte
    the permuted common prefix of each window with its predecessor tells which ones repeat.
    An anchor with more than CONTEXTS different contexts is cut finer first: into halves of its
    windows' range, each by the bytes common to that half. Occurrences of anchors with more than hot(...)
-   of them are cut into ranges of STRETCH windows instead, which are counted by the bytes common to the
-   range: once, and all its windows are unique; always in the same context, and all repeat; the few
-   others, at the ends of a common passage, are counted window by window. So no task ever holds a whole
-   hot group.
+   of them are counted by context first: those of a context that occurs again are settled. Of each
+   different context one occurrence is cut into ranges of STRETCH windows, which are counted by the
+   bytes common to the range: once, and all its windows are unique; always in the same context, and all
+   repeat; the few others, at the ends of a common passage, are counted window by window. So no task
+   ever holds a whole hot group.
 3. Runs of repeated windows are joined to their documents, which remove the bytes they cover.
 
 Null texts count as empty; texts shorter than WINDOW lose nothing. Repeated rows repeat each other.
@@ -210,14 +211,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) * (x >> 63)
 
 
-def _stretches(raw: bytes, place: int, start: int, n: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(hash of the common bytes, hash of all bytes, first window, windows, 0, all bytes) of each range of windows, cut at fixed distances from the anchor."""
-    near, far = place - start - n + 1, place - start
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each range of windows of each context, cut at fixed distances from the anchor: hashes of its common bytes and of all, and all bytes."""
+    for b in batches:
+        out: list = [[] for _ in range(7)]
+        for d, th, start, n, place, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for h, ctx, first, m, part in _ranges(data, place, n):
+                for c, v in zip(out, (h, ctx, d, th, start + first, m, part), strict=True):
+                    c.append(v)
+        kinds = (pa.int64(),) * 6 + (pa.binary(),)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "ctx", "doc_id", "th", "start", "n", "data"])
+
+
+def _ranges(raw: bytes, place: int, n: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    near, far = place - n + 1, place
     for g in range(near // STRETCH, far // STRETCH + 1):
         low, high = max(near, g * STRETCH), min(far, g * STRETCH + STRETCH - 1)
         core = raw[place - g * STRETCH : place - g * STRETCH - STRETCH + 1 + WINDOW]
         data = raw[place - high : place - low + WINDOW]
-        yield _signed(xxhash.xxh64_intdigest(core, g + 1)), _signed(xxhash.xxh64_intdigest(data, high)), place - high, high - low + 1, 0, data
+        yield _signed(xxhash.xxh64_intdigest(core, g + 1)), _signed(xxhash.xxh64_intdigest(data, high)), place - high, high - low + 1, data
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,40 +283,41 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     is_hot = np.isin(h, hottest)
                     for k in np.flatnonzero(in_mixed | in_same).tolist():
                         s, m = int(first[k]), int(n[k])
-                        if is_hot[k]:
-                            for row in _stretches(raw, int(place[k]), s, m):
-                                put(row[0], row[1], 2, d, th, *row[2:])
-                            continue
                         part = raw[s : s + m + WINDOW - 1]
                         ctx = xxhash.xxh64_intdigest(part)
-                        put(int(h[k].view(np.int64)), _signed(ctx), int(in_mixed[k]), d, th, s, m, int(place[k]) - s, part if in_mixed[k] else None)
+                        put(int(h[k].view(np.int64)), _signed(ctx), 2 if is_hot[k] else int(in_mixed[k]), d, th, s, m, int(place[k]) - s, part if in_mixed[k] else None)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, TYPES, strict=True)], names=list(NAMES))
 
     passed = stored(rows.mapInArrow(sent, SCHEMA), "contexts", partition_by=["kind"])
-    cut = passed.where("kind = 2")
+    hottest = passed.where("kind = 2")
+    one = F.first(F.struct("doc_id", "th", "start", "n", "place", "data"))
+    contexts = stored(hottest.groupBy("h", "ctx").agg(F.count("*").alias("times"), one.alias("one")), "hot-contexts")
+    settled = hottest.select("h", "ctx", "doc_id", "th", "start", "n").join(contexts.where("times > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
+    cut = stored(contexts.select("one.*").mapInArrow(_stretches, "h long, ctx long, doc_id long, th long, start long, n long, data binary"), "ranges")
     ranges = cut.groupBy("h").agg(F.count("*").alias("times"), (F.min("ctx") == F.max("ctx")).alias("same")).where("times > 1").select("h", "same")
-    cut = stored(cut.join(ranges, "h").select("doc_id", "th", "start", F.col("n").cast("long").alias("n"), F.when(~F.col("same"), F.col("data")).alias("data")), "stretches")
+    cut = stored(cut.join(ranges, "h").select("doc_id", "th", "start", "n", F.when(~F.col("same"), F.col("data")).alias("data")), "stretches")
     each = cut.where("data is not null").mapInArrow(_single, "h long, ctx long, doc_id long, th long, start long, n long")
     plain = passed.where("kind = 0").select("h", "ctx", "doc_id", "th", "start", F.col("n").cast("long").alias("n")).unionByName(each)
     twice = plain.groupBy("h", "ctx").agg(F.count("*").alias("times")).where("times > 1").select("h", "ctx")
-    known_runs = plain.join(twice, ["h", "ctx"], "left_semi").drop("h", "ctx").unionByName(cut.where("data is null").drop("data"))
+    settled = settled.select("doc_id", "th", "start", F.col("n").cast("long").alias("n"))
+    known_runs = plain.join(twice, ["h", "ctx"], "left_semi").drop("h", "ctx").unionByName(cut.where("data is null").drop("data")).unionByName(settled)
     exact = known_runs.select("doc_id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor; as many anchors as make a good shard are sorted together."""
-        held: list[dict] = []
+        held: list[tuple] = []  # hash, id and hash of the text, first window, windows, anchor's place, bytes
         size = 0
 
-        def flush(held: list[dict]) -> pa.RecordBatch:
+        def flush(held: list[tuple]) -> pa.RecordBatch:
             mask = np.zeros((len(held), REACH), bool)
             shards = _Shards()
             at = 0
             while at < len(held):
                 to = at
                 different: dict = {}
-                while to < len(held) and held[to]["h"] == held[at]["h"]:
-                    r = held[to]
-                    different.setdefault((r["data"], r["place"]), (r["data"], r["place"], r["n"], []))[3].append(to)
+                while to < len(held) and held[to][0] == held[at][0]:
+                    n, place, data = held[to][4:]
+                    different.setdefault((data, place), (data, place, n, []))[3].append(to)
                     to += 1
                 shards.add(mask, list(different.values()))
                 at = to
@@ -312,18 +325,18 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             out: list = [[], [], [], []]
             edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             for (r, near), (_, past) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
-                x = held[r]
-                for c, v in zip(out, (x["doc_id"], x["th"], x["start"] + x["place"] - past + 1, x["start"] + x["place"] - near + WINDOW), strict=True):
+                _, d, th, start, _, place, _ = held[r]
+                for c, v in zip(out, (d, th, start + place - past + 1, start + place - near + WINDOW), strict=True):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "th", "start", "end"])
 
         for b in batches:
-            for r in b.to_pylist():
-                if size > 4 * SYMBOLS and held[-1]["h"] != r["h"]:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size > 4 * SYMBOLS and held[-1][0] != r[0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r["data"])
+                size += len(r[-1])
         if held:
             yield flush(held)
 
