@@ -14,6 +14,8 @@ are linked first, and groups that lie wholly in the key's own component are left
 Links become stars inside each task and components over all tasks (graph.components), so a group of
 many near copies never yields all its pairs.
 
+Near-dedup of documents (dedupe) does without fingerprints: bands of min-hashes propose, exact similarity decides.
+
 Null and empty texts have the fingerprint zero. Null ids take part; the smallest id of a component
 ignores them (null where there is no other).
 """
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,16 +263,120 @@ def report(df: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-dedup of documents: fingerprints of 256 bits over different 5-word shingles. Two sets of Jaccard similarity 0.8
-#: differ in about 39 of these bits. Blocks of 24 bits at most 2 apart propose pairs; MOST of all bits confirm them.
-LANES, BLOCKS, BITS, RADIUS, MOST = 4, 10, 24, 2, 44
+#: Near-dedup of documents: sets of 5-word shingle hashes of Jaccard similarity NUM/DEN or more are linked. A pair meets in
+#: a band if BAND min-hashes agree: of pairs of similarity 0.8, 1 in 9,700 meets in none of BANDS bands, of 0.3, 0.3 % meet.
+NUM, DEN, BANDS, BAND = 4, 5, 50, 8
+SLOTS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Groups of proposed pairs beyond so many sets are compared block by block.
+BLOCK = 256
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width, 42))
+
+
+def set_digest(h: np.ndarray) -> list[int]:
+    data = h.tobytes()
+    return [xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)]
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of the min-hashes of a set (none of the empty set)."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(SLOTS), ~np.uint64(0))
+    for k in range(0, len(h), 256):
+        least = np.minimum(least, (SLOTS[:, None] * h[k : k + 256]).min(1))
+    rows = least.reshape(BANDS, BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return key
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of similarity NUM/DEN or more, counted; with side, of pairs of different sides only."""
+    n = np.array([len(s) for s in sets], np.int64)
+    m = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    column = np.cumsum(first) - 1
+    repeated = np.bincount(column, minlength=1) > 1
+    keep = repeated[column] if len(column) else column.astype(bool)
+    number = np.cumsum(repeated) - 1
+    owner, column = owner[keep], number[column[keep]]
+    both = np.zeros((m, m), np.int64)
+    for k in range(0, int(repeated.sum()), 8192):
+        a, b = np.searchsorted(column, [k, k + 8192])
+        has = np.zeros((m, 8192), np.float32)
+        has[owner[a:b], column[a:b] - k] = 1
+        both += (has @ has.T).astype(np.int64)
+    ok = (DEN * both >= NUM * (n[:, None] + n[None, :] - both)) & (n[:, None] > 0)
+    if side is not None:
+        ok &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(ok, 1))
+
+
+def similar(proposed: DataFrame, tagged: DataFrame, row: str, text: str, width: int) -> DataFrame:
+    """Edges (u, v) that connect all sets of similarity NUM/DEN or more among those that proposed(u, v) connects."""
+    spark = tagged.sparkSession
+    roots = components(proposed)
+    members = stored(roots.select(F.col("v").alias("nid"), F.col("u").alias("cluster")).unionByName(roots.select(F.col("u").alias("nid"), F.col("u").alias("cluster")).distinct()), "members")
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 500)
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", F.explode(other)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("at"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))).otherwise(F.struct(F.col("cluster").alias("at"), "lo", "hi"))
+    dealt = dealt.select(task.alias("task"), "cluster", "nid", "block").select("task.*", "cluster", "nid", "block")
+    texts = tagged.select(F.col(row).alias("__nid"), F.col(text).alias("__text"))
+
+    def link(table: pa.Table) -> pa.Table:
+        nid, cluster, block = (table.column(x).to_numpy() for x in ("nid", "cluster", "block"))
+        apart = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        column = table.column("__text")
+        u, v = [], []
+        order = np.argsort(cluster, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            a, b = similar_pairs([shingle_set(column[i].as_py(), width) for i in at.tolist()], block[at] if apart else None)
+            label = local_components(len(at), a, b)
+            moved = np.flatnonzero(label != np.arange(len(at)))
+            u.append(nid[at[label[moved]]])
+            v.append(nid[at[moved]])
+        return pa.table({"u": pa.array(np.concatenate(u).astype(np.int64)), "v": pa.array(np.concatenate(v).astype(np.int64))})
+
+    return dealt.join(texts, dealt["nid"] == texts["__nid"]).groupBy("at", "lo", "hi").applyInArrow(link, "u long, v long")
 
 
 def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """df with one row of each group of near copies: the one of the smallest id (null last; of repeated ids any one)."""
-    row = "__row"
-    tagged = stored(fingerprints(df, text, width, lanes=LANES, distinct=True).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    """df with one row of each group of near copies: the one of the smallest id (null last; of repeated ids any one).
+
+    Equal sets collapse first. Bands of min-hashes propose pairs, and only proposed pairs whose similarity, counted over
+    the whole sets, is NUM/DEN or more are links.
+    """
+    row, own, at = "__row", df.columns, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, bands, seen = [], [], {}
+            for t in batch.column(at).to_pylist():
+                if t not in seen:
+                    h = shingle_set(t, width)
+                    seen[t] = (set_digest(h), band_keys(h).view(np.int64))
+                digests.append(seen[t][0])
+                bands.append(seen[t][1])
+            d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(bands, pa.list_(pa.int64()))], names=[*own, "__d0", "__d1", "__bands"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__d0", T.LongType()), T.StructField("__d1", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    tagged = stored(df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "tagged")
     least = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row")).alias("least")
-    words = [f"__f{k}" for k in range(LANES)]
-    kept = placed(tagged.select(least, *words), LANES, BLOCKS, BITS, RADIUS, MOST, least_shards=6).select(F.col("component.row").alias("__kept")).distinct()
-    return tagged.join(kept, tagged[row] == kept["__kept"], "left_semi").drop(row, *words)
+    nodes = stored(tagged.select("__d0", "__d1", least).groupBy("__d0", "__d1").agg(F.min("least").alias("least")).select("least", F.col("least.row").alias("nid")), "nodes")
+    keyed = tagged.select(row, "__bands").join(nodes, tagged[row] == nodes["nid"], "left_semi").select(F.col(row).alias("nid"), F.explode("__bands").alias("key"))
+    meeting = keyed.select("nid", F.min("nid").over(Window.partitionBy("key")).alias("u")).where("nid != u")
+    edges = stored(similar(meeting.select("u", F.col("nid").alias("v")).distinct(), tagged, row, text, width), "similar")
+    table = nodes.join(components(edges), F.col("nid") == F.col("v"), "left").select("least", F.coalesce("u", "nid").alias("root"))
+    kept = table.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__kept"))
+    return tagged.join(kept, tagged[row] == kept["__kept"], "left_semi").select(*own)

@@ -421,3 +421,43 @@ def test_window_entropy(spark):
 
     got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.window_entropy(F.col("t")).alias("h")).collect()
     assert all(math.isclose(x["h"], best(x["t"]), abs_tol=1e-9) for x in got)
+
+
+def test_near_dedup_counts_similarity(spark, docs):
+    """Kept ids equal those of exact components; pairs lie closely around 0.8, and families chain and share boilerplate."""
+    r = random.Random(21)
+    texts = []
+    for n in (12, 40, 150, 600):
+        for edits in (1, 2, 3, 4, 5, 6) * 4:
+            base = [f"{n}x{r.randint(0, 10**9)}" for _ in range(n)]
+            copy = list(base)
+            for at in r.sample(range(n), max(1, edits * n // 200)) if n > 12 else [r.choice([0, n - 1, 5])]:
+                copy[at] = "new"
+            texts += [" ".join(base), " ".join(copy)]
+    shared = [f"b{i}" for i in range(60)]
+    texts += [" ".join(shared + [f"own{r.randint(0, 10**9)}" for _ in range(r.randint(5, 40))]) for _ in range(40)]
+    hot = [f"h{i}" for i in range(90)]
+    for _ in range(600):
+        copy = list(hot)
+        for at in r.sample(range(90), r.randint(0, 3)):
+            copy[at] = f"v{r.randint(0, 10**9)}"
+        texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "", 1, "", 1.0) for i, t in enumerate(texts)], SCHEMA)
+    assert {g["doc_id"] for g in collected(simhash.dedupe(df))} == {root(i) for i in range(len(texts))}
