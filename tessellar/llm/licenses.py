@@ -1,7 +1,7 @@
 """License scans: Dice coefficient over word bigrams against license templates, DataFrame functions only.
 
 Text is normalised (lower case, runs of other characters than letters and digits become one space)
-and compared by line and, where short enough, as a whole document. With sets A of a unit and B of a
+and compared by line and as a whole document. With sets A of a unit and B of a
 template, 2|A & B| / (|A| + |B|) >= t needs |A| between t|B|/(2-t) and (2-t)|B|/t: only templates
 inside these bounds are compared. Since it also needs t|B|/(2-t) shared bigrams, a set of guard
 words that leaves fewer bigrams than that uncovered in every template lets texts without a guard
@@ -78,15 +78,12 @@ def _bigrams(unit: Column) -> Column:
 def matches(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, dice: float = DICE) -> DataFrame:
     """A row for each document and license that some unit is nearest to: doc_id, license, dice (best), line (first, from 1; 0: the whole text)."""
     sets = [(name, template_bigrams(t)) for name, t in templates]
-    longest = max(len(b) for _, b in sets)
     known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b")) for name, b in sets))
-    guard = r"(?iuU)\b(?:" + "|".join(map(re.escape, guard_words(templates, dice))) + r")\b"
+    guard = r"(?iu)(?<![\p{L}\p{Nd}])(?:" + "|".join(map(re.escape, guard_words(templates, dice))) + r")(?![\p{L}\p{Nd}])"
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).where(F.col("__t").rlike(guard))
     lines = F.transform(F.split("__t", "\r\n|\r|\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
     whole = F.array(F.struct(F.lit(0).alias("line"), F.col("__t").alias("unit")))
-    # Only what can be as short as the longest template allows is cut into bigrams.
-    spaces = lambda u: F.length(u) <= 40 * int((2 - dice) / dice * longest + 2)
-    units = F.filter(F.concat(lines, whole), lambda u: u["unit"].rlike(guard) & spaces(u["unit"]))
+    units = F.filter(F.concat(lines, whole), lambda u: u["unit"].rlike(guard))
     each = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line", _bigrams(F.col("u.unit")).alias("a"))
     n = F.size("a")
     fitting = F.filter(known, lambda k: (n * (2 - dice) >= F.size(k["b"]) * dice) & (n * dice <= F.size(k["b"]) * (2 - dice)))

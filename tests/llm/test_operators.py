@@ -461,3 +461,11 @@ def test_near_dedup_counts_similarity(spark, docs):
                 label[y] = x
     df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "", 1, "", 1.0) for i, t in enumerate(texts)], SCHEMA)
     assert {g["doc_id"] for g in collected(simhash.dedupe(df))} == {root(i) for i in range(len(texts))}
+
+
+def test_licenses_long_units_of_few_bigrams(spark):
+    gpl = dict(licenses.TEMPLATES)["GPL-3.0"]
+    texts = ["Released under the MIT License.\n" * 900, "Released under" + " -" * 9000 + " the MIT License.", "_Released_under_the_MIT_License_", "\n".join([gpl.replace(" ", "\n", 9)] * 60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {(i, n, round(s, 6), line) for i, t in enumerate(texts) for n, (s, line) in plain_licenses(t).items()}
+    assert {(g["doc_id"], g["license"], g["dice"], g["line"]) for g in licenses.report(df).collect()} == want and {w[0] for w in want} == {0, 1, 2, 3}
