@@ -1,11 +1,12 @@
-"""What the operators of this subpackage share: tables in the shared folder, and session settings."""
+"""What the operators of this subpackage share: tables in the shared folder, filters of bounded size, free names, session settings."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the word definition of these operators has it: space and U+0009 to U+000D.
@@ -13,41 +14,149 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without: a folder of its own then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir()
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="tessellar-")
-            spark.sparkContext.setCheckpointDir(base)
+            spark.sparkContext._jsc.sc().setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and returns what was written.
 
-    The lineage ends there: an executor that is lost later costs a read, not the work before it.
+    The lineage ends there: an executor that is lost later costs a read, not the work before it. The files go
+    when the application ends, or sooner by discard().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_folder(spark, name)
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote; only for tables that no result still reads."""
+    for t in tables:
+        spark, path = t.sparkSession, t._stored_at
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As stored(), in as many buckets of key as there are shuffle partitions: later joins on key leave these rows where they are."""
+    """As stored(), in as many buckets of key as there are shuffle partitions: later joins on key leave these rows where they are.
+
+    Spark keeps buckets only for tables of its catalogue; the entry goes at once, the files stay as long as stored() ones.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, key).saveAsTable(table)
-    return spark.table(table)
+    df.write.option("compression", "zstd").option("path", _new_folder(spark, name)).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out.inputFiles()  # the relation is resolved with its buckets before the entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+# Bloom filters of 64-bit hashes, in blocks of 2**15 bits: one block a key, three bits in it.
+
+BLOCK_BITS, LEAST_BITS, MOST_BITS = 15, 18, 30
+_SHIFTS = (16, 31, 46)
+
+
+def filter_bits(keys: int) -> int:
+    """Size (as a power of two) of a filter with at least 12 bits for each key, at most 2**MOST_BITS (128 MB): 90 million keys.
+
+    With more keys a filter lets more through, in the end everything: results stay the same, only more rows move.
+    """
+    return min(MOST_BITS, max(LEAST_BITS, (12 * keys).bit_length()))
+
+
+def filter_table(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """(block, bits binary): at most 2**(bits - BLOCK_BITS) rows of 4 KB, from partial bitmaps of each task."""
+    block = F.col(column).bitwiseAND(F.lit((1 << (bits - BLOCK_BITS)) - 1))
+    places = F.array(*(F.shiftleft(block, BLOCK_BITS) + F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + 1 for s in _SHIFTS))
+    at = keys.select(F.explode(places).alias("p"))
+    return at.groupBy((F.bitmap_bucket_number("p") - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+class Filter:
+    """A filter in numpy, for hashes that are made inside Python workers."""
+
+    def __init__(self, keys: DataFrame, column: str, count: int):
+        bits = filter_bits(count)
+        self.blocks = 1 << (bits - BLOCK_BITS)
+        self.packed = np.zeros(self.blocks << (BLOCK_BITS - 3), np.uint8)
+        for r in filter_table(keys, column, bits).toLocalIterator():
+            at = r["block"] << (BLOCK_BITS - 3)
+            self.packed[at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        base = (h & np.uint64(self.blocks - 1)) << np.uint64(BLOCK_BITS)
+        ok = np.ones(len(h), bool)
+        for s in _SHIFTS:
+            p = base + ((h >> np.uint64(s)) & np.uint64((1 << BLOCK_BITS) - 1))
+            ok &= (self.packed[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def in_filter(df: DataFrame, column: str, keys: DataFrame, count: int, name: str) -> DataFrame:
+    """df with a boolean column name: false only if the long in column is not in keys(column). A broadcast of at most 128 MB, no shuffle."""
+    bits = filter_bits(count)
+    hashed = keys.select(F.xxhash64(column).alias("h"))
+    table = filter_table(hashed, "h", bits).select(F.col("block").alias(f"{name}_b"), F.col("bits").alias(f"{name}_m"))
+    h = F.xxhash64(column)
+    joined = df.join(F.broadcast(table), h.bitwiseAND(F.lit((1 << (bits - BLOCK_BITS)) - 1)) == F.col(f"{name}_b"), "left")
+
+    def bit(s: int) -> Column:
+        at = F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+        byte = F.conv(F.hex(F.substring(f"{name}_m", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+
+    found = F.col(f"{name}_b").isNotNull() & bit(_SHIFTS[0]) & bit(_SHIFTS[1]) & bit(_SHIFTS[2])
+    return joined.withColumn(name, F.coalesce(found, F.lit(False))).drop(f"{name}_b", f"{name}_m")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of df, a stored table, whose long in column is not in gone(column), itself stored: an anti join that leaves rows where they are.
+
+    A filter of gone settles most rows at once. Which of the others it let through wrongly is found by their keys alone; only those rows
+    (and what a filter of them lets through) are shuffled.
+    """
+    (name,) = free(df, "__maybe")
+    first = in_filter(df, column, gone, gone.count(), name)
+    wrongly = stored(first.where(name).select(column).join(gone, column, "left_anti"), "passed")
+    second = in_filter(first.where(name).drop(name), column, wrongly, wrongly.count(), name).where(name).drop(name)
+    return first.where(~F.col(name)).drop(name).unionByName(second.join(wrongly, column, "left_semi").select(*df.columns))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores added until df has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +168,3 @@ def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
-
-
-def text_or_empty(name: str):
-    return F.coalesce(F.col(name), F.lit(""))

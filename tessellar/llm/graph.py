@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import stored
+from tessellar.llm.common import discard, stored
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,7 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
     seen = None
     while True:
-        now = stored(_small(_stars(now)), "stars")
+        last, now = now, stored(_small(_stars(now)), "stars")
+        discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
             return now.select("v", "u")

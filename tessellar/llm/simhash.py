@@ -1,23 +1,22 @@
-"""SimHash near-dedup with a hierarchical index in Gray order.
+"""SimHash fingerprints linked through a hierarchical index in Gray order.
 
-Fingerprints: each bit is the majority of that bit over the 64-bit hashes of a document's word
+Fingerprints: each of 64 bits is the majority of that bit over the hashes of a document's word
 shingles. Equal fingerprints collapse to one node before anything is compared.
 
-Index: keys (all 64 bits, or disjoint blocks of a longer fingerprint) are sorted by their rank in
-the binary-reflected Gray code, where neighbours share most bits. Every group of FAN neighbours
-becomes a tree node that keeps the bits its members agree on, less those its parent already has.
-A search adds up a key's differences on the way down and leaves a group once they exceed the radius.
-The sorted keys are cut into shards of equal size; the shards' own agreed bits are the tree's top, by
-which keys are sent only to shards that can hold a neighbour. Within a shard, neighbours in Gray order
-are linked first, and groups that lie wholly in the key's own component are left out.
+Index: nodes are sorted by their rank in the binary-reflected Gray code, where neighbours share most
+bits. Every group of FAN neighbours becomes a tree node that keeps the bits its members agree on, less
+those its parent already has. A search adds up a fingerprint's differences on the way down and leaves a
+group once they exceed RADIUS. The sorted nodes are cut into shards; a tree of the same kind over the
+shards' agreed bits sends each fingerprint only to shards that can hold a neighbour. Within a shard,
+neighbours in Gray order are linked first, and groups that lie wholly in the fingerprint's own component
+are left out.
 
 Links become stars inside each task and components over all tasks (graph.components), so a group of
 many near copies never yields all its pairs.
 
-Near-dedup of documents (dedupe) does without fingerprints: bands of min-hashes propose, exact similarity decides.
-
 Null and empty texts have the fingerprint zero. Null ids take part; the smallest id of a component
-ignores them (null where there is no other).
+ignores them (null where there is no other). dedupe, which keeps one document of each group of near
+copies, decides by exact similarity instead (jaccard.py).
 """
 
 from __future__ import annotations
@@ -26,37 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessellar.llm.common import stored
 from tessellar.llm.graph import components, local_components
-from tessellar.llm.words import mix
+from tessellar.llm.jaccard import dedupe
+from tessellar.llm.words import shingle_hashes
 
 FAN = 4
+RADIUS = 2
 SHARD = 50_000
 LEAST_SHARDS = 16
 QUERIES = 2048
+#: A component's least id goes to so many places, to which the component's members are dealt.
+SALT = 16
 
 
-def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
-    """XXH64 of each run of width words (fewer words: of all of them; none: no hash), A-Z lower-cased."""
-    words = text.encode("utf-8").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    line, h = b" ".join(words), xxhash.xxh64_intdigest
-    n = len(words)
-    if n <= width:
-        return np.array([h(line, seed)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    ends = (starts + lengths)[width - 1 :].tolist()
-    return np.array([h(line[s:e], seed) for s, e in zip(starts[: n - width + 1].tolist(), ends, strict=True)], np.uint64)
-
-
-def majority(h: np.ndarray) -> int:
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    h = shingle_hashes(text, width, seed)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -65,31 +52,16 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42, lanes: int = 1, distinct: bool = False) -> list[int]:
-    """lanes 64-bit words; the first is of the shingles' own hashes, others of scrambles of them."""
-    h = shingle_hashes(text, width, seed)
-    if distinct:
-        h = np.unique(h)
-    return [majority(h if k == 0 else mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(lanes)]
-
-
-def fingerprints(df: DataFrame, text: str, width: int, seed: int = 42, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """df with its rows' fingerprint words as signed longs: __f0, __f1, ..."""
-    names, at = [f"__f{k}" for k in range(lanes)], df.columns.index(text)
-    own = df.columns
+def fingerprints(rows: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, f) of rows(doc_id, text), f as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict = {}
-            rows = []
-            for t in batch.column(at).to_pylist():
-                if t not in seen:
-                    seen[t] = fingerprint(t, width, seed, lanes, distinct)
-                rows.append(seen[t])
-            f = np.array(rows, np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes))], names=[*own, *names])
+            texts = batch.column(1).to_pylist()
+            seen = {t: fingerprint(t, width, seed) for t in dict.fromkeys(texts)}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([seen[t] for t in texts], np.uint64).view(np.int64))], names=["doc_id", "f"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, f long")
 
 
 def gray_rank(key: np.ndarray) -> np.ndarray:
@@ -106,29 +78,12 @@ def gray_rank_column(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def block_key(lanes: list[np.ndarray], block: int, bits: int) -> np.ndarray:
-    """Bits block * bits and following of the fingerprint, as a 64-bit key (bits = 64: that lane itself)."""
-    at = block * bits
-    low = lanes[at // 64] >> np.uint64(at % 64)
-    if at % 64 + bits > 64:
-        low = low | (lanes[at // 64 + 1] << np.uint64(64 - at % 64))
-    return low & np.uint64((1 << bits) - 1)
-
-
-def block_key_column(block: int, bits: int) -> Column:
-    at = block * bits
-    low = F.shiftrightunsigned(F.col(f"f{at // 64}"), at % 64)
-    if at % 64 + bits > 64:
-        low = low.bitwiseOR(F.shiftleft(F.col(f"f{at // 64 + 1}"), 64 - at % 64))
-    return low if bits == 64 else low.bitwiseAND(F.lit((1 << bits) - 1))
-
-
 class Tree:
-    """Sorted keys under nodes of FAN neighbours; level 0 is the keys themselves."""
+    """Leaves (what their keys have in common: all, any) in Gray order under nodes of FAN neighbours. Labels: of single keys."""
 
-    def __init__(self, keys: np.ndarray, labels: np.ndarray):
-        both, any_, low, high = keys, keys, labels, labels
-        self.pattern, self.mask, self.low, self.high = [keys], [np.full(len(keys), ~np.uint64(0))], [low], [high]
+    def __init__(self, both: np.ndarray, any_: np.ndarray, labels: np.ndarray | None = None):
+        low = high = np.full(len(both), -2) if labels is None else labels
+        self.pattern, self.mask, self.low, self.high = [both], [~(both ^ any_)], [low], [high]
         while len(both) > FAN:
             cut = np.arange(0, len(both), FAN)
             both, any_ = np.bitwise_and.reduceat(both, cut), np.bitwise_or.reduceat(any_, cut)
@@ -140,8 +95,8 @@ class Tree:
         for k in range(len(self.mask) - 1):  # what the parent has is not looked at again
             self.mask[k] = self.mask[k] & ~np.repeat(self.mask[k + 1], FAN)[: len(self.mask[k])]
 
-    def search(self, keys: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, key) positions at most radius bits apart, without groups that are wholly of the query's own label."""
+    def search(self, keys: np.ndarray, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) positions at most RADIUS bits apart, without groups that are wholly of the query's own label."""
         top = len(self.pattern) - 1
         n = len(self.pattern[top])
         q, node = np.repeat(np.arange(len(keys)), n), np.tile(np.arange(n), len(keys))
@@ -153,230 +108,96 @@ class Tree:
                 inside = node < len(self.pattern[level])
                 q, node, apart = q[inside], node[inside], apart[inside]
             apart = apart + np.bitwise_count((keys[q] ^ self.pattern[level][node]) & self.mask[level][node])
-            own = labels[q]
-            keep = (apart <= radius) & ~((self.low[level][node] == own) & (self.high[level][node] == own))
+            keep = apart <= RADIUS
+            if labels is not None:
+                keep &= ~((self.low[level][node] == labels[q]) & (self.high[level][node] == labels[q]))
             q, node, apart = q[keep], node[keep], apart[keep]
         return q, node
 
 
-def link_shard(index: np.ndarray, queries: np.ndarray, block: int, bits: int, radius: int, most: int | None) -> np.ndarray:
-    """Star edges (rows of two node ids) of one shard. index, queries: columns node id, lanes (uint64)."""
-    lanes = index.shape[1] - 1
-    index = index[np.argsort(gray_rank(block_key([index[:, 1 + k] for k in range(lanes)], block, bits)), kind="stable")]
-    keys = block_key([index[:, 1 + k] for k in range(lanes)], block, bits)
-    n = len(index)
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.ones(len(a), bool) if most is None else np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(1, dtype=np.int64) <= most
-
-    a, b = [], []
+def link_shard(index: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Star edges (rows of two node ids) of one shard. index, queries: columns node id, fingerprint (uint64)."""
+    index = index[np.argsort(gray_rank(index[:, 1]), kind="stable")]
+    keys, n = index[:, 1], len(index)
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
     for gap in (1, 2, 3, 4):  # neighbours in Gray order first
         if n > gap:
-            at = np.flatnonzero((np.bitwise_count(keys[gap:] ^ keys[:-gap]) <= radius) & near(index[gap:], index[:-gap]))
+            at = np.flatnonzero(np.bitwise_count(keys[gap:] ^ keys[:-gap]) <= RADIUS)
             a.append(at)
             b.append(at + gap)
-    a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-    label = local_components(n, a, b)
-    tree = Tree(keys, label)
-    found_a, found_b = [a], [b]
+    label = local_components(n, np.concatenate(a), np.concatenate(b))
+    tree = Tree(keys, keys, label)
     everyone = np.concatenate([index, queries])
-    every_key = np.concatenate([keys, block_key([queries[:, 1 + k] for k in range(lanes)], block, bits)])
     every_label = np.concatenate([label, np.full(len(queries), -1)])
     for k in range(0, len(everyone), QUERIES):
-        q, node = tree.search(every_key[k : k + QUERIES], every_label[k : k + QUERIES], radius)
+        q, node = tree.search(everyone[k : k + QUERIES, 1], every_label[k : k + QUERIES])
         q = q + k
-        keep = (q > node) if k + QUERIES <= n else ((q >= n) | (q > node))
-        q, node = q[keep], node[keep]
-        ok = near(everyone[q], index[node])
-        found_a.append(node[ok])
-        found_b.append(q[ok])
-    label = local_components(len(everyone), np.concatenate(found_a), np.concatenate(found_b))
+        keep = (q >= n) | (q > node)
+        a.append(node[keep])
+        b.append(q[keep])
+    label = local_components(len(everyone), np.concatenate(a), np.concatenate(b))
     moved = np.flatnonzero(label != np.arange(len(everyone)))
     return np.stack([everyone[label[moved], 0], everyone[moved, 0]], axis=1)
 
 
-def links(nodes: DataFrame, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None, least_shards: int = LEAST_SHARDS) -> DataFrame:
-    """Edges (u, v) that connect what is linked: nodes(nid, f0, ...) whose keys differ by at most radius bits in some
-    block and, where most is given, whose whole fingerprints differ by at most most bits."""
-    n = nodes.count()
-    shards = max(least_shards, -(-n // SHARD))
-    spark = nodes.sparkSession
-    keyed = nodes.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("t"), block_key_column(b, bits).alias("key")) for b in range(blocks)))).alias("k"))
-    rank = gray_rank_column(F.col("k.key"))
-    cuts = keyed.groupBy("k.t").agg(F.percentile_approx(rank, [i / shards for i in range(1, shards)], 20 * shards).alias("cuts")).collect()  # a few numbers for each shard
-    edges_of = {r["t"]: np.unique(np.array(r["cuts"], np.int64)) for r in cuts}
-    number = F.lit(0)
-    for t, c in edges_of.items():
-        number = F.when(F.col("k.t") == t, F.size(F.filter(F.array(*map(F.lit, c.tolist())), lambda x: x <= rank))).otherwise(number)
-    top = keyed.groupBy("k.t", number.alias("shard")).agg(F.bit_and("k.key").alias("all"), F.bit_or("k.key").alias("any")).collect()  # a row for each shard
-    tops: dict = {}
-    for r in top:
-        tops.setdefault(r["t"], []).append((r["shard"], r["all"], r["any"]))
-    shared = spark.sparkContext.broadcast({t: (edges_of[t], np.array(sorted(v), object)) for t, v in tops.items()})
-    names = ["nid", *(f"f{k}" for k in range(lanes))]
+def links(nodes: DataFrame, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """Edges (u, v) that connect all of nodes(nid, f), f different, whose fingerprints are at most RADIUS bits apart."""
+    shards = max(least_shards, -(-nodes.count() // SHARD))
+
+    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, both, any_ = None, ~np.uint64(0), np.uint64(0)
+        for b in batches:
+            rank, key = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            if len(rank):
+                low = int(rank.min()) if low is None else min(low, int(rank.min()))
+                both, any_ = both & np.bitwise_and.reduce(key), any_ | np.bitwise_or.reduce(key)
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (low, int(both.view(np.int64)), int(any_.view(np.int64)))], names=["low", "all", "any"])
+
+    ranked = nodes.select(gray_rank_column(F.col("f")).alias("rank"), "f").repartitionByRange(shards, "rank")
+    top = sorted(tuple(r) for r in ranked.mapInArrow(about, "low long, all long, any long").collect())  # three numbers for each shard
+    if not top:
+        return nodes.select(F.col("nid").alias("u"), F.col("nid").alias("v"))
+    cuts, both, any_ = np.array(top, np.int64).T
+    shared = nodes.sparkSession.sparkContext.broadcast((cuts, Tree(both.view(np.uint64), any_.view(np.uint64))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(lanes + 1)]
-            words = [c.view(np.uint64) for c in cols[1:]]
-            at, to, kind = [], [], []
-            for t, (cut, top) in shared.value.items():
-                key = block_key(words, t, bits)
-                own = np.searchsorted(cut, (gray_rank(key) ^ np.uint64(1 << 63)).view(np.int64), side="right")
-                for shard, all_, any_ in top:
-                    both, some = np.uint64(all_ % (1 << 64)), np.uint64(any_ % (1 << 64))
-                    rows = np.flatnonzero((own <= shard) & (np.bitwise_count((key ^ both) & ~(both ^ some)) <= radius))
-                    at.append(rows)
-                    to.append(np.full(len(rows), t * 1_000_000 + shard))
-                    kind.append((own[rows] < shard).astype(np.int32))
-            at, to, kind = np.concatenate(at), np.concatenate(to), np.concatenate(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(kind), *(pa.array(c[at]) for c in cols)], names=["to", "kind", *names])
+        cuts, tree = shared.value
+        for b in batches:
+            nid, f = b.column(0).to_numpy(), b.column(1).to_numpy()
+            own = np.searchsorted(cuts, (gray_rank(f.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64), side="right") - 1
+            for k in range(0, len(f), QUERIES):
+                q, shard = tree.search(f[k : k + QUERIES].view(np.uint64))
+                q = q + k
+                q, shard = q[shard >= own[q]], shard[shard >= own[q]]  # the earlier of two shards sends to the later
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own[q] < shard), pa.array(nid[q]), pa.array(f[q])], names=["shard", "guest", "nid", "f"])
 
     def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = key[0].as_py() // 1_000_000
-        data = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-        kind = table.column("kind").to_numpy()
-        pairs = link_shard(data[kind == 0], data[kind == 1], block, bits, radius, most).view(np.int64)
+        data = np.stack([table.column(x).to_numpy().view(np.uint64) for x in ("nid", "f")], axis=1)
+        guest = table.column("guest").to_numpy()
+        pairs = link_shard(data[~guest], data[guest]).view(np.int64)
         return pa.table({"u": pa.array(np.ascontiguousarray(pairs[:, 0])), "v": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
-    sent = nodes.select(*names).mapInArrow(route, "to long, kind int, " + ", ".join(f"{x} long" for x in names))
-    return sent.groupBy("to").applyInArrow(link, "u long, v long")
+    sent = nodes.select("nid", "f").mapInArrow(route, "shard long, guest boolean, nid long, f long")
+    return sent.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
-def placed(prints: DataFrame, lanes: int, blocks: int, bits: int, radius: int, most: int | None = None, least_shards: int = LEAST_SHARDS) -> DataFrame:
-    """For each fingerprint of prints(least, __f0, ...): its words and the smallest value of least in its component."""
-    names, words = [f"f{k}" for k in range(lanes)], [f"__f{k}" for k in range(lanes)]
-    nodes = prints.groupBy(*words).agg(F.min("least").alias("least")).select(F.monotonically_increasing_id().alias("nid"), "least", *(F.col(w).alias(n) for w, n in zip(words, names, strict=True)))
-    nodes = stored(nodes, "nodes")
-    roots = components(links(nodes, lanes, blocks, bits, radius, most, least_shards))
-    table = stored(nodes.join(roots, nodes["nid"] == roots["v"], "left").select(*names, "least", F.coalesce("u", "nid").alias("root")), "placed")
-    least = table.groupBy("root").agg(F.min("least").alias("component"))
-    return table.join(least, "root").select(*names, "component")
+def placed(prints: DataFrame, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """(f, component) for each different fingerprint of prints(doc_id, f): the smallest doc_id in its component."""
+    nodes = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("nid"), "f", "least"), "nodes")
+    roots = stored(components(links(nodes, least_shards)).select(F.col("v").alias("nid"), F.col("u").alias("root")), "roots")
+    every = stored(roots.unionByName(roots.select(F.col("root").alias("nid"), "root").distinct()).join(nodes, "nid").select("nid", "f", "least", "root"), "linked")
+    least = every.groupBy("root").agg(F.min("least").alias("component"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    linked = every.withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SALT)).cast("int")).join(least, ["root", "salt"]).select("f", "component")
+    return linked.unionByName(nodes.join(every.select("nid"), "nid", "left_anti").select("f", F.col("least").alias("component")))
 
 
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 3-word shingles, links at 2 or fewer of 64 bits."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stored(fingerprints(rows, "text", width=3).drop("text"), "fingerprints")
-    each = placed(prints.select(F.col("doc_id").alias("least"), "__f0"), lanes=1, blocks=1, bits=64, radius=2)
-    out = prints.join(each, prints["__f0"] == each["f0"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-#: Near-dedup of documents: sets of 5-word shingle hashes of Jaccard similarity NUM/DEN or more are linked. A pair meets in
-#: a band if BAND min-hashes agree: of pairs of similarity 0.8, 1 in 9,700 meets in none of BANDS bands, of 0.3, 0.3 % meet.
-NUM, DEN, BANDS, BAND = 4, 5, 50, 8
-SLOTS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Groups of proposed pairs beyond so many sets are compared block by block.
-BLOCK = 256
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width, 42))
+    prints = stored(fingerprints(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
+    out = prints.join(placed(prints), "f")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def set_digest(h: np.ndarray) -> list[int]:
-    data = h.tobytes()
-    return [xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)]
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band of the min-hashes of a set (none of the empty set)."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    least = np.full(len(SLOTS), ~np.uint64(0))
-    for k in range(0, len(h), 256):
-        least = np.minimum(least, (SLOTS[:, None] * h[k : k + 256]).min(1))
-    rows = least.reshape(BANDS, BAND)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return key
-
-
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of similarity NUM/DEN or more, counted; with side, of pairs of different sides only."""
-    n = np.array([len(s) for s in sets], np.int64)
-    m = len(sets)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    first = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
-    column = np.cumsum(first) - 1
-    repeated = np.bincount(column, minlength=1) > 1
-    keep = repeated[column] if len(column) else column.astype(bool)
-    number = np.cumsum(repeated) - 1
-    owner, column = owner[keep], number[column[keep]]
-    both = np.zeros((m, m), np.int64)
-    for k in range(0, int(repeated.sum()), 8192):
-        a, b = np.searchsorted(column, [k, k + 8192])
-        has = np.zeros((m, 8192), np.float32)
-        has[owner[a:b], column[a:b] - k] = 1
-        both += (has @ has.T).astype(np.int64)
-    ok = (DEN * both >= NUM * (n[:, None] + n[None, :] - both)) & (n[:, None] > 0)
-    if side is not None:
-        ok &= side[:, None] != side[None, :]
-    return np.nonzero(np.triu(ok, 1))
-
-
-def similar(proposed: DataFrame, tagged: DataFrame, row: str, text: str, width: int) -> DataFrame:
-    """Edges (u, v) that connect all sets of similarity NUM/DEN or more among those that proposed(u, v) connects."""
-    spark = tagged.sparkSession
-    roots = components(proposed)
-    members = stored(roots.select(F.col("v").alias("nid"), F.col("u").alias("cluster")).unionByName(roots.select(F.col("u").alias("nid"), F.col("u").alias("cluster")).distinct()), "members")
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 500)
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", F.explode(other)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("at"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))).otherwise(F.struct(F.col("cluster").alias("at"), "lo", "hi"))
-    dealt = dealt.select(task.alias("task"), "cluster", "nid", "block").select("task.*", "cluster", "nid", "block")
-    texts = tagged.select(F.col(row).alias("__nid"), F.col(text).alias("__text"))
-
-    def link(table: pa.Table) -> pa.Table:
-        nid, cluster, block = (table.column(x).to_numpy() for x in ("nid", "cluster", "block"))
-        apart = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-        column = table.column("__text")
-        u, v = [], []
-        order = np.argsort(cluster, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            a, b = similar_pairs([shingle_set(column[i].as_py(), width) for i in at.tolist()], block[at] if apart else None)
-            label = local_components(len(at), a, b)
-            moved = np.flatnonzero(label != np.arange(len(at)))
-            u.append(nid[at[label[moved]]])
-            v.append(nid[at[moved]])
-        return pa.table({"u": pa.array(np.concatenate(u).astype(np.int64)), "v": pa.array(np.concatenate(v).astype(np.int64))})
-
-    return dealt.join(texts, dealt["nid"] == texts["__nid"]).groupBy("at", "lo", "hi").applyInArrow(link, "u long, v long")
-
-
-def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """df with one row of each group of near copies: the one of the smallest id (null last; of repeated ids any one).
-
-    Equal sets collapse first. Bands of min-hashes propose pairs, and only proposed pairs whose similarity, counted over
-    the whole sets, is NUM/DEN or more are links.
-    """
-    row, own, at = "__row", df.columns, df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, bands, seen = [], [], {}
-            for t in batch.column(at).to_pylist():
-                if t not in seen:
-                    h = shingle_set(t, width)
-                    seen[t] = (set_digest(h), band_keys(h).view(np.int64))
-                digests.append(seen[t][0])
-                bands.append(seen[t][1])
-            d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(bands, pa.list_(pa.int64()))], names=[*own, "__d0", "__d1", "__bands"])
-
-    schema = T.StructType([*df.schema.fields, T.StructField("__d0", T.LongType()), T.StructField("__d1", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    tagged = stored(df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "tagged")
-    least = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row")).alias("least")
-    nodes = stored(tagged.select("__d0", "__d1", least).groupBy("__d0", "__d1").agg(F.min("least").alias("least")).select("least", F.col("least.row").alias("nid")), "nodes")
-    keyed = tagged.select(row, "__bands").join(nodes, tagged[row] == nodes["nid"], "left_semi").select(F.col(row).alias("nid"), F.explode("__bands").alias("key"))
-    meeting = keyed.select("nid", F.min("nid").over(Window.partitionBy("key")).alias("u")).where("nid != u")
-    edges = stored(similar(meeting.select("u", F.col("nid").alias("v")).distinct(), tagged, row, text, width), "similar")
-    table = nodes.join(components(edges), F.col("nid") == F.col("v"), "left").select("least", F.coalesce("u", "nid").alias("root"))
-    kept = table.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__kept"))
-    return tagged.join(kept, tagged[row] == kept["__kept"], "left_semi").select(*own)
+__all__ = ["dedupe", "fingerprints", "links", "report"]

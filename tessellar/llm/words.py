@@ -7,6 +7,7 @@ hash is a polynomial of its bytes modulo 2**64, mixed; it is the same in every p
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SEP = 10
@@ -54,3 +55,18 @@ def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tupl
         return whole, counts
     parts = [mix(np.add.reduceat(np.where(place < k, value, np.uint64(0)), first) + np.uint64(k)) for k in prefixes]
     return np.stack([whole, *parts], axis=1), counts
+
+
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of width words (fewer words: of all of them; none: no hash), A-Z lower-cased; words end at ASCII white space."""
+    words = text.encode("utf-8").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, h = b" ".join(words), xxhash.xxh64_intdigest
+    n = len(words)
+    if n <= width:
+        return np.array([h(line, seed)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    ends = (starts + lengths)[width - 1 :].tolist()
+    return np.array([h(line[s:e], seed) for s, e in zip(starts[: n - width + 1].tolist(), ends, strict=True)], np.uint64)

@@ -265,11 +265,11 @@ def test_gray_index_finds_all_neighbours():
     data = np.stack([np.arange(len(keys), dtype=np.uint64), keys], axis=1)
     near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 2
     want = graph.local_components(len(keys), *np.nonzero(near))
-    edges = simhash.link_shard(data, data[:0], 0, 64, 2, None).astype(np.int64)
+    edges = simhash.link_shard(data, data[:0]).astype(np.int64)
     got = graph.local_components(len(keys), edges[:, 0], edges[:, 1])
     assert (got == want).all() and len(edges) <= len(keys)
     half = len(keys) // 2
-    edges = np.concatenate([simhash.link_shard(data[:half], data[half:], 0, 64, 2, None), simhash.link_shard(data[half:], data[:0], 0, 64, 2, None)]).astype(np.int64)
+    edges = np.concatenate([simhash.link_shard(data[:half], data[half:]), simhash.link_shard(data[half:], data[:0])]).astype(np.int64)
     assert (graph.local_components(len(keys), edges[:, 0], edges[:, 1]) == want).all()
 
 
