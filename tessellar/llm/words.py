@@ -6,6 +6,8 @@ hash is a polynomial of its bytes modulo 2**64, mixed; it is the same in every p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -57,6 +59,18 @@ def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tupl
     return np.stack([whole, *parts], axis=1), counts
 
 
+def word_hash_groups(texts: list[str | None], prefixes: tuple[int, ...] = (), most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """word_hashes of consecutive texts of at most about so many characters together, with the position of each group's first text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t or "") > most:
+            yield first, *word_hashes(texts[first:i], prefixes)
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, *word_hashes(texts[first:], prefixes)
+
+
 def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
     """XXH64 of each run of width words (fewer words: of all of them; none: no hash), A-Z lower-cased; words end at ASCII white space."""
     words = text.encode("utf-8").lower().split() if text else []
