@@ -159,6 +159,22 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(a: Column, join) -> Column:
+    """For each element of a the join (associative) of all up to it: each round joins stretches of doubled length."""
+
+    def doubled(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, join(F.get(acc, i - back), x)).otherwise(x))
+
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.size(a) - 1)).cast("int"))
+    return F.when(F.size(a) < 2, a).otherwise(F.aggregate(rounds, a, doubled))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -63,7 +63,7 @@ def secrets_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     kinds = [("assign", secrets.ASSIGN, "length(g) >= 8"), ("access", secrets.ACCESS, "true"), ("hex", secrets.HEX, "true")]
     allowed = secrets.ALLOW.replace(r"^(.)\1+$|", "")
-    for kind, pattern, bits in secrets.ENTROPY_CLASSES:
+    for kind, pattern, _, bits in secrets.ENTROPY_CLASSES:
         windows = f"list_transform(range(1, length(g) - {secrets.WINDOW - 2}), lambda i: list_aggregate(string_split(g, '')[i : i + {secrets.WINDOW - 1}], 'entropy'))"
         plain = f"NOT regexp_matches(g, {quote(allowed)}) AND len(list_distinct(string_split(g, ''))) > 1"
         kinds.append((kind, re.sub(r"\(\?<![^)]*\)", "", pattern), f"{plain} AND list_max({windows}) >= {bits}"))

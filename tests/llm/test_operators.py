@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontam, graph, licenses, lm, media, mixing, pii, sais, secrets, simhash, suffix, toxicity
+from tessellar.llm import common, decontam, graph, licenses, lm, media, mixing, pii, sais, secrets, simhash, suffix, toxicity
 from tessellar.llm.words import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, spans string, f0 long, u string, target double"
@@ -469,3 +469,41 @@ def test_licenses_long_units_of_few_bigrams(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     want = {(i, n, round(s, 6), line) for i, t in enumerate(texts) for n, (s, line) in plain_licenses(t).items()}
     assert {(g["doc_id"], g["license"], g["dice"], g["line"]) for g in licenses.report(df).collect()} == want and {w[0] for w in want} == {0, 1, 2, 3}
+
+
+def plain_spans(x):
+    """All spans by the definitions: base kinds, then classes whose best window reaches its bits."""
+    out = base_secrets(x)
+    for rank, (kind, rx, _, bits) in enumerate(secrets.ENTROPY_CLASSES, 3):
+        for m in re.finditer(rx, x):
+            counts = (Counter(m[0][i : i + 20]) for i in range(len(m[0]) - 19))
+            if not re.search(secrets.ALLOW, m[0]) and any(-sum(n / 20 * math.log2(n / 20) for n in c.values()) >= bits - 1e-12 for c in counts):
+                out.append((m.start(), rank, kind, m.end()))
+    return sorted(out)
+
+
+def test_secret_spans_and_masks_of_long_texts(spark):
+    r = random.Random(31)
+    code = lambda n: "".join(r.choice("ABCDEFGHabcdefgh01234567+/xyzXYZ") for _ in range(n))
+    texts = [code(60_000), " ".join(f"{r.getrandbits(160):040x}" for _ in range(1500)), "é\U0001f600\n" * 9000 + "password = abcdefgh99 " + "z\r\n" * 5000, "", None]
+    texts += ["".join(r.choice([code(25), "password=", "token: ", " ", "\n", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdef0123", f"{r.getrandbits(140):x}", "AKIAABCDEFGH1234"]) for _ in range(12)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, 1, "kept") for i, t in enumerate(texts)], "doc_id long, text string, __t int, __spans string")
+    got = {g["doc_id"]: g["spans"] for g in collected(secrets.report(df))}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for a, _, k, b in plain_spans(t or "")) for i, t in enumerate(texts)}
+
+    def plain_mask(t):
+        out, at = "", 0
+        for a, _, _, b in plain_spans(t):
+            out, at = (out + t[at:a] + "[SECRET]", b) if a >= at else (out, max(at, b))
+        return out + t[at:]
+
+    masked = secrets.redact(df)
+    assert masked.columns == df.columns
+    assert {g["doc_id"]: (g["text"], g["__spans"]) for g in collected(masked)} == {i: (t and plain_mask(t), "kept") for i, t in enumerate(texts)}
+
+
+def test_running_sums(spark):
+    r = random.Random(1)
+    rows_ = [([r.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 8, 9, 31, 64, 65, 1000)]
+    got = spark.createDataFrame(rows_, "a array<int>").select("a", common.running(F.col("a"), lambda a, b: a + b).alias("s")).collect()
+    assert all(x["s"] == [sum(x["a"][: i + 1]) for i in range(len(x["a"]))] for x in got)
