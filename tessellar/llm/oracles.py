@@ -46,16 +46,25 @@ FROM t LEFT JOIN z ON t.r = z.r
 
 def licenses_sql(templates=licenses.TEMPLATES, dice: float = licenses.DICE) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(name)}, [{', '.join(map(quote, licenses.template_bigrams(t)))}])" for name, t in templates)
+    row = lambda i, name, text, b: f"({i}, {quote(name)}, {len(licenses.normalise(text).split(' ')) - 1}, [{', '.join(map(quote, b))}])"
+    known = ", ".join(row(i, name, text, licenses.template_bigrams(text)) for i, (name, text) in enumerate(templates))
     return rf"""
-WITH t(license, b) AS (VALUES {known}),
-l AS (SELECT doc_id, text, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, 0 AS line, text AS x FROM l UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1)), unnest(ls) FROM l),
-w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ') AS ws FROM u),
+WITH t(tid, license, length, b) AS (VALUES {known}),
+l AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents),
+u AS (SELECT r, doc_id, 0 AS line, text AS x FROM l UNION ALL SELECT r, doc_id, unnest(range(1, len(ls) + 1)), unnest(ls) FROM l),
+w AS (SELECT r, doc_id, line, list_filter(string_split(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' '), lambda v: v <> '') AS ws FROM u),
 a AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM w),
 s AS (SELECT doc_id, line, license, 2.0 * len(list_filter(b, lambda g: list_contains(a, g))) / (len(a) + len(b)) AS dice FROM a JOIN t ON len(a) * {2 - dice} >= len(b) * {dice} AND len(a) * {dice} <= len(b) * {2 - dice}),
-m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, line) AS top FROM s WHERE dice >= {dice})
-SELECT doc_id, license, round(max(dice), 6) AS dice, min(line)::INTEGER AS line FROM m WHERE dice = top GROUP BY doc_id, license
+m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, line) AS top FROM s WHERE dice >= {dice}),
+-- Windows: words of all lines in a row, places of templates' bigrams, and those places from which enough others follow.
+f AS (SELECT r, doc_id, line, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS v FROM w WHERE line > 0),
+g AS (SELECT r, doc_id, line, i, v || ' ' || lead(v) OVER (PARTITION BY r ORDER BY i) AS b FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line, k) AS i FROM f)),
+p AS (SELECT g.r, g.doc_id, g.line, g.i, g.b, tid, license, length, size FROM g JOIN (SELECT tid, license, length, len(b) AS size, unnest(b) AS b FROM t) x ON g.b = x.b),
+c AS (SELECT o.r, o.doc_id, o.line, o.i, o.license, o.tid, o.length, o.size, count(DISTINCT e.b) AS shared FROM p o JOIN p e ON o.r = e.r AND o.tid = e.tid AND e.i >= o.i AND e.i < o.i + o.length
+      GROUP BY ALL HAVING count(DISTINCT e.b) * {2 - dice} >= o.size * {dice} - 0.000000001),
+n AS (SELECT c.doc_id, c.line, c.license, c.r, c.i, 2.0 * c.shared / (count(DISTINCT g.b) + c.size) AS dice FROM c JOIN g ON c.r = g.r AND g.i >= c.i AND g.i < c.i + c.length GROUP BY c.doc_id, c.line, c.license, c.r, c.i, c.tid, c.shared, c.size),
+z AS (SELECT doc_id, line, license, dice, max(dice) OVER (PARTITION BY r, i) AS top FROM n WHERE dice >= {dice})
+SELECT doc_id, license, round(max(dice), 6) AS dice, min(line)::INTEGER AS line FROM (SELECT doc_id, line, license, dice, top FROM m UNION ALL SELECT doc_id, line, license, dice, top FROM z) WHERE dice = top GROUP BY doc_id, license
 """
 
 

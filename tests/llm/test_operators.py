@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -333,16 +334,20 @@ def test_long_documents_score_as_short_ones():
 
 
 def plain_licenses(text):
+    """Lines, the whole text, and at each word the window of each template's length whose first bigram is one of its own."""
     best = {}
-    known = [(n, set(licenses.template_bigrams(t))) for n, t in licenses.TEMPLATES]
-    units = [(0, text), *((i + 1, x) for i, x in enumerate(re.split("\r\n|\r|\n", text)))]
-    for line, u in units:
-        a = set(licenses.template_bigrams(u))
-        got = [(n, 2 * len(a & b) / (len(a) + len(b))) for n, b in known if a or b]
-        top = max(s for _, s in got)
+    known = [(n, set(licenses.template_bigrams(t)), len(licenses.normalise(t).split()) - 1) for n, t in licenses.TEMPLATES]
+    lines = re.split("\r\n|\r|\n", text)
+    words = [(i + 1, w) for i, x in enumerate(lines) for w in licenses.normalise(x).split()]
+    grams = [(a[0], f"{a[1]} {b[1]}") for a, b in zip(words, words[1:], strict=False)]
+    starts = [(line, [(n, {g for _, g in grams[i : i + k]}, b) for n, b, k in known if x in b]) for i, (line, x) in enumerate(grams)]
+    units = [(i, set(licenses.template_bigrams(u))) for i, u in [(0, text), *((i + 1, x) for i, x in enumerate(lines))]]
+    for line, unit in [*((i, [(n, a, b) for n, b, _ in known if a or b]) for i, a in units), *starts]:
+        got = [(n, 2 * len(a & b) / (len(a) + len(b))) for n, a, b in unit]
+        top = max((s for _, s in got), default=0)
         for n, s in got:
             if s == top and s >= 0.8:
-                old = best.get(n, (0, 99))
+                old = best.get(n, (0, line))
                 best[n] = (max(old[0], s), min(old[1], line))
     return best
 
@@ -350,9 +355,15 @@ def plain_licenses(text):
 def test_licenses(spark, docs, empty):
     r = random.Random(3)
     texts = [prose(r, 40) + "\n" + t + "\n" + prose(r, 9) for _, t in licenses.TEMPLATES] + ["Released  under, the MIT license", "licensed", "the of a", prose(r, 30)]
+    mit, gpl = max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len), dict(licenses.TEMPLATES)["GPL-3.0"]
+    texts.append("int main() { return 0; }\n/* " + "\n * ".join(textwrap.wrap(mit, 76)) + " */\nint x = 1;\n" + prose(r, 60))
+    texts.append(prose(r, 20) + "\r\n# " + "\r\n# ".join(textwrap.wrap(gpl.replace("program", "library"), 40)) + "\r\n" + prose(r, 20))
+    texts.append(prose(r, 5) + " Released under the MIT License. " + prose(r, 8))
     df = docs.unionByName(spark.createDataFrame([(300 + i, t, "en", "s", 1, 1, "", 1, "", 1.0) for i, t in enumerate(texts)], SCHEMA))
     want = {(300 + i, n, round(s, 6), line) for i, t in enumerate(texts) for n, (s, line) in plain_licenses(t).items()}
     assert {(g["doc_id"], g["license"], g["dice"], g["line"]) for g in collected(licenses.report(df))} == want and len(want) >= len(licenses.TEMPLATES)
+    found = {(d - 300, n) for d, n, _, _ in want}
+    assert {(len(texts) - 3, "MIT"), (len(texts) - 2, "GPL-3.0"), (len(texts) - 1, "MIT")} <= found
     assert licenses.report(empty).count() == 0
 
 
