@@ -203,11 +203,30 @@ def test_mixing(spark, docs, empty):
         assert g["taken"] % max(g["size"], 1) == 0 and g["taken"] <= 3 * g["size"]
         taken[g["source"]] += g["taken"]
     assert abs(taken["s0"] - target["s0"]) < 0.05 * target["s0"] and abs(taken["s1"] - target["s1"]) < 0.05 * target["s1"]
+    for name in (*names[:2], None):  # the dual of each source, solved by halving
+        own = [g for g in got if g["source"] == name and g["size"]]
+        scale = sum(g["size"] ** 2 for g in own) / totals[name]
+        low, high = -60.0, 60.0
+        rate = lambda g, lam, scale=scale: min(3.0, math.exp(min(50.0, lam * g["size"] / scale)))
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(g["size"] * rate(g, mid) for g in own) < target[name] else (low, mid)
+        assert all(math.isclose(g["rate"], rate(g, low), rel_tol=1e-3, abs_tol=1e-3) for g in own), name
     again = collected(mixing.report(docs.repartition(5)))
     assert Counter(map(str, got)) == Counter(map(str, again))
     assert mixing.report(empty).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    data = [(1 if i % 3 else None, "a b c d", "s") for i in range(25_000)] + [(i, "w " * (i % 40), "t") for i in range(3000)] + [(i, "", "u") for i in range(9)] + [(7, "long " * 9000, "t")]
+    got = collected(mixing.report(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    assert Counter((g["doc_id"], g["source"], g["size"]) for g in got) == Counter((d, s, len(t.split())) for d, t, s in data)
+    for s in "st":
+        taken, target = sum(g["taken"] for g in got if g["source"] == s), next(g["target"] for g in got if g["source"] == s)
+        assert abs(taken - target) < 0.01 * target
+    assert all(0 <= g["copies"] <= 3 for g in got) and all(g["taken"] == 0 for g in got if g["source"] == "u")
+
+
 def test_backoff_scores(docs, empty):
     words = [re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (x[1] or "").lower()) for x in rows()]
     grams = lambda w: Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
@@ -319,7 +338,7 @@ def test_toxicity(spark, docs, empty):
 
 def test_long_documents_score_as_short_ones():
     r = random.Random(1)
-    docs_ = [word_hashes([prose(r, 30) + (" vile" if i % 2 else "")], toxicity.PREFIXES)[0] for i in range(60)]
+    docs_ = [next(toxicity.word_rows([prose(r, 30) + (" vile" if i % 2 else "")])) for i in range(60)]
     m = toxicity.train(docs_, np.array([i % 2 for i in range(60)]), ["en"] * 60, 0.5)
     long = np.concatenate([docs_[0]] * 40 + [docs_[1]] + [docs_[2]] * 40)
     whole = toxicity.score(m, [long])
