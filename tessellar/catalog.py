@@ -14,9 +14,10 @@ from tessellar.functions import text as X
 from tessellar.functions.intent import CODE_WEIGHTS, IDENTIFIER_WEIGHTS, intent
 from tessellar.operators import changes, chunking, documents, impact, search
 from tessellar.operators.embedding import misses
-from tessellar.sources.files import by_directory, directories
+from tessellar.sources.files import analysed, by_directory, directories, manifest
+from tessellar.sources.ignore import IgnoreRules
 
-#: Query texts, all of them about concepts; their vectors are those of the first rows of embeddings.
+#: Query texts, all of them about concepts.
 TEXTS = ("the and of", "tion heed", "la de", "worthless")
 #: Query texts of every intent.
 INTENTS = ("how refresh works", "buildIndex", "find the user", "sqlite index", "plain words here", "process_payment", "HTTPServer", "get", "", "build a very long list of words")
@@ -36,12 +37,14 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf).where(F.col("vec_id") < len(TEXTS))
-    return v.join(F.broadcast(_texts(spark)), F.col("vec_id") == F.col("query_id")).select("query_id", "query", "vector")
+    """Every vector whose id is divisible by 100 is a query, with the texts in turn."""
+    v = _vectors(spark, sf).where("vec_id % 100 = 0")
+    text = F.element_at(F.array(*map(F.lit, TEXTS)), (F.col("vec_id") / 100 % len(TEXTS) + 1).cast("int"))
+    return v.select(F.col("vec_id").alias("query_id"), text.alias("query"), "vector")
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as chunks of one file each: the source is the path, the text the body."""
+    """Documents as chunks of one file each: the source is the path, the text the body. As in any index, chunks without a vector are not searched."""
     d = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("path_text"), F.col("text").alias("body_text"))
     blank = {c: F.lit("") for c in ("header_text", "file_symbol_text", "local_symbol_text")}
     return d.withColumns(blank).join(_vectors(spark, sf), F.col("doc_id") == F.col("vec_id")).drop("vec_id")
@@ -119,28 +122,104 @@ def markdown_sections(spark, sf):
     return d.select("conv_id", F.explode(chunking.markdown_sections(X.lines("text"))).alias("s")).select("conv_id", F.col("s.start").alias("start_line"), F.col("s.end").alias("end_line"))
 
 
-def _symbols():
-    """Two nested symbols and a later one in every document's lines."""
-    one = lambda kind, name, a, b: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(f"{kind} {name}").alias("signature"), F.lit(a).alias("line_start"), F.lit(b).alias("line_end"))
-    return F.array(one("class", "Box", 1, 3), one("function", "open", 2, 3), one("function", "shut", 4, 4))
+def _symbols(lines):
+    """Stand-in symbols over all lines: a class for every 50 lines, and in each a function of its lines 2 to 6."""
+    n = F.size(lines)
+
+    def pair(b):
+        one = lambda kind, name, lead, a, e: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(name), b).alias("name"), F.concat(F.lit(lead + name), b).alias("signature"), F.least(n, b * 50 + a).alias("line_start"), F.least(n, b * 50 + e).alias("line_end"))
+        return F.array(one("class", "Box", "class ", 1, 50), one("function", "open", "def ", 2, 6))
+
+    return F.when(n == 0, F.array().cast(documents.SYMBOLS)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 50).cast("int")), pair)))
+
+
+def _symbol_chunks(spark, sf) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", X.lines("text").alias("l")).withColumn("symbols", _symbols(F.col("l")))
+    return d.select("doc_id", "source", "lang", "symbols", F.posexplode(chunking.code_chunks(F.col("l"), F.col("symbols"))).alias("ordinal", "c"))
 
 
 def symbol_chunks(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.code_chunks(X.lines("text"), _symbols())).alias("ordinal", "c"))
-    return d.select("doc_id", "ordinal", "c.kind", F.length("c.content").alias("n_chars"))
+    return _symbol_chunks(spark, sf).select("doc_id", "ordinal", "c.kind", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.length("c.content").alias("n_chars"), F.md5(F.col("c.content").cast("binary")).alias("digest"))
 
 
 def chunk_fields(spark, sf):
-    d = _t(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("relative_path"), F.array(F.col("lang")).alias("header_lines"), _symbols().alias("symbols"), F.lit(0).alias("ordinal"), F.lit("text").alias("kind"), F.lit(2).alias("start"), F.lit(2).alias("end"), F.substring("text", 1, 40).alias("content"))
+    d = _symbol_chunks(spark, sf).select(F.concat_ws("/", "source", "doc_id").alias("relative_path"), F.array(F.col("lang")).alias("header_lines"), "symbols", "ordinal", "c.*")
     return documents.chunk_documents(d, "ollama", "m").select("relative_path", "chunk_id", "embedding_id", "local_symbol_text")
 
 
+# Files.
+
+#: How a declaration looks in each language: suffix, kind of symbol, text before and after its name.
+DECLARATIONS = (
+    (".py", "function", "def ", "(x):\n    return x\n"),
+    (".ts", "function", "export function ", "(x: string) {\n  return x;\n}\n"),
+    (".js", "class", "class ", " {\n  go() { return '}'; }\n}\n"),
+    (".go", "struct", "type ", " struct {\n\tX int\n}\n"),
+    (".rs", "trait", "pub trait ", " {\n    fn go(&self);\n}\n"),
+    (".kt", "function", "fun ", "(x: Int): Int {\n    return x\n}\n"),
+)
+
+
+def _files(spark, sf) -> DataFrame:
+    """Parts as declarations, a file for each brand in each language: names by part key, a comment line first."""
+    p = _t(spark, sf, "part").select("p_brand", F.concat(F.lit("N"), F.col("p_partkey")).alias("name"), "p_partkey").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "name"))).alias("p"))
+
+    def file(ext, lead, rest):
+        text = F.array_join(F.transform("p", lambda r: F.concat(F.lit(lead), r["name"], F.lit(rest))), "")
+        return F.struct(F.lit(ext).alias("ext"), F.concat(F.lit("# " if ext == ".py" else "// "), F.col("p_brand"), F.lit("\n"), text).alias("content"))
+
+    each = [file(ext, lead, rest) for ext, _, lead, rest in DECLARATIONS]
+    rows = p.select("p_brand", F.explode(F.array(*each)).alias("f"))
+    return rows.select(F.concat(F.translate("p_brand", "# ", "__"), F.lit("/all"), F.col("f.ext")).alias("relative_path"), "f.ext", F.col("f.content").cast("binary").alias("content"))
+
+
+def language_symbols(spark, sf):
+    """Symbols of six languages, read from generated files."""
+    f = analysed(_files(spark, sf)).select("relative_path", "language", F.size("header_lines").alias("n_headers"), F.explode("symbols").alias("s"))
+    return f.groupBy("relative_path", "language", "n_headers", "s.kind").agg(F.count("*").alias("n"), F.sum("s.line_start").alias("starts"), F.sum("s.line_end").alias("ends"), F.min("s.signature").alias("first_signature"))
+
+
+def file_manifest(spark, sf):
+    f = _files(spark, sf).withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn("mtime_ns", F.lit(0).cast("long"))
+    return manifest(f).select("relative_path", "size_bytes", "content_hash")
+
+
+def identifier_fields(spark, sf):
+    f = analysed(_files(spark, sf).where("ext = '.py'"))
+    return documents.identifier_documents(f, "ollama", "m").select("relative_path", "symbol_name", "start_line", "end_line", "content", "context_text", "doc_id", "embedding_id")
+
+
+def index_chunks(spark, sf):
+    """Conversations as markdown and as plain text, chunked by the kind of file."""
+    talk = _talk(spark, sf, lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n"), t["text"]))
+    kinds = F.explode(F.array(F.lit(".md"), F.lit(".txt"))).alias("ext")
+    rows = talk.select("conv_id", F.col("text").alias("content"), kinds, F.array().cast(documents.SYMBOLS).alias("symbols"))
+    rows = chunking.chunked(rows.where("conv_id % 2 = 0 or ext = '.md'"))
+    return rows.select("conv_id", "ext", "ordinal", "kind", F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.length("content").alias("n_chars"))
+
+
+IGNORED = ("blog.*/", "*7", "/www.*/de", "**/en/1*")
+RESTORED = ("!*17", "!m.*/")
+
+
+def ignored_paths(spark, sf):
+    rules = IgnoreRules.of(list(IGNORED), list(RESTORED))
+    return _paths(spark, sf).select("relative_path", rules.ignored_column(F.col("relative_path")).alias("ignored"))
+
+
+def usages_outside_definitions(spark, sf):
+    """Mentions of a word in lines that do not define it: every document's first line is said to define it."""
+    first = F.array(F.struct(F.lit("function").alias("kind"), F.lit("the").alias("name"), F.lit("the").alias("signature"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end")))
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.col("text").alias("content"), first.alias("symbols"))
+    return impact.usages(d, "the").groupBy("relative_path").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"))
+
+
 # Vectors and scores.
 
 
 def cosine_topk(spark, sf):
     v = _vectors(spark, sf)
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.lit("").alias("query"), "vector")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("").alias("query"), "vector")
     rows = search.against(v.withColumn("__vn", S.norm(F.col("vector"))), q)
     rows = rows.select("query_id", "vec_id", F.round(S.cosine(F.col("vector"), F.col("__qv"), F.col("__vn"), F.col("__qn")), 6).alias("similarity"))
     return search.top(rows, 10, F.desc("similarity"), "vec_id")
@@ -198,8 +277,8 @@ def intent_classify(spark, sf):
 
 def identifier_promotion(spark, sf):
     p = _t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("signature"), F.col("p_brand").alias("header_text"), (F.col("p_size") / 100).alias("score"))
-    hits = p.withColumn("query_id", F.lit(0)).crossJoin(F.broadcast(_t(spark, sf, "part").where("p_partkey <= 5").select(F.col("p_name").alias("query"), F.col("p_partkey").alias("q")))).drop("query_id")
-    return search.top(search.promoted(hits).withColumnRenamed("q", "query_id"), 10, F.desc("score"), "p_partkey").select("query_id", "rank", "p_partkey", "score")
+    q = _t(spark, sf, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    return search.top(search.promoted(search.paired(p, q)), 10, F.desc("score"), "p_partkey").select("query_id", "rank", "p_partkey", "score")
 
 
 def identifier_search(spark, sf):
@@ -308,6 +387,7 @@ _NAMES = (
     greedy_line_chunks, paragraph_chunks, markdown_sections, symbol_chunks, chunk_fields, cosine_topk, vectors_join, fielded_keyword_score, whole_document_score,
     hybrid_search, score_thresholds, diversify_results, intent_classify, identifier_promotion, identifier_search, kind_inference, refresh_plan, manifest_upsert,
     replace_file_rows, orphan_embeddings, reference_counts, embedding_cache_misses, status_counts, metadata_rows, symbol_usages, directory_tree, files_by_directory, path_scope,
+    language_symbols, file_manifest, identifier_fields, index_chunks, ignored_paths, usages_outside_definitions,
 )
 
 
@@ -318,4 +398,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from tessellar import oracles
 
-    return oracles.sql(TEXTS, INTENTS, SIGNATURES, CODE_WEIGHTS, IDENTIFIER_WEIGHTS)
+    return oracles.sql(TEXTS, INTENTS, SIGNATURES, CODE_WEIGHTS, IDENTIFIER_WEIGHTS, DECLARATIONS)

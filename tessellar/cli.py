@@ -68,6 +68,14 @@ def _model(a: argparse.Namespace, command: str) -> models.Model:
         raise Refused("invalid_arguments", str(e)) from e
 
 
+def target_label(target: Path, given: str | None = None) -> str:
+    """How a search names its tree: as it was given with the command, else by its way from the working folder if it lies below that."""
+    if given is not None:
+        return Path(given).as_posix()
+    here = Path.cwd().resolve()
+    return (target.relative_to(here) if here in (target, *target.parents) else target).as_posix()
+
+
 def run(argv: list[str], spark: SparkSession | None = None, fetch=None) -> tuple[str, dict]:
     """(text, payload) of a command. Refused is raised for wrong selections and for indexes that cannot be used."""
     a = parser().parse_args(argv)
@@ -109,7 +117,7 @@ def run(argv: list[str], spark: SparkSession | None = None, fetch=None) -> tuple
     except indexes.RebuildNeeded as e:
         raise Refused("full_rebuild_required", str(e)) from e
     show = render.code_report if a.command == "search-code" else render.identifier_report
-    payload = {"command": a.command, "depth_limit": a.depth_limit, "matches": matches, "model": at.model.name, "provider": at.model.provider, "query": a.query, "target_dir": str(target), "top_k": a.top_k}
+    payload = {"command": a.command, "depth_limit": a.depth_limit, "matches": matches, "model": at.model.name, "provider": at.model.provider, "query": a.query, "target_dir": target_label(target, own), "top_k": a.top_k}
     return show(matches), payload
 
 

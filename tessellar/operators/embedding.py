@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,33 @@ def hashing_embedder(texts: list[str], size: int = 64) -> list[list[float]]:
     return out
 
 
+class within:  # noqa: N801 (used as a function; an object so that it can be sent to workers)
+    """fetch called with these environment variables set, and, where single, with one text at a time."""
+
+    def __init__(self, fetch: Fetcher, environment: dict[str, str], single: bool = False):
+        self.fetch, self.environment, self.single = fetch, dict(environment), single
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        before = {k: os.environ.get(k) for k in self.environment}
+        os.environ.update(self.environment)
+        try:
+            if not self.single:
+                return self.fetch(texts)
+            out = []
+            for t in texts:
+                got = self.fetch([t])
+                if len(got) != 1:
+                    raise ValueError("the number of embeddings differs from the number of texts")
+                out += got
+            return out
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    os.environ.pop(k, None)
+                else:
+                    os.environ[k] = v
+
+
 def numbers(vector) -> list[float]:
     """A vector's values as floats; numbers and numeric strings are taken, anything else is an error."""
     if not isinstance(vector, (list, tuple)) or any(isinstance(x, bool) or not isinstance(x, (int, float, str)) for x in vector):

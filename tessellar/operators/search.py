@@ -6,6 +6,7 @@ table is broadcast after its size has been checked. Larger query tables go in bl
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import pandas as pd
@@ -35,15 +36,19 @@ def prepared(queries: DataFrame) -> DataFrame:
     )
 
 
-def against(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of the corpus with every query: blocks of at most MAX_QUERIES queries, broadcast to where the corpus is."""
-    q = prepared(queries)
+def paired(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every query: blocks of at most MAX_QUERIES queries, broadcast to where the rows are."""
     n = queries.count()
     if n <= MAX_QUERIES:
-        return corpus.join(F.broadcast(q))
+        return rows.join(F.broadcast(queries))
     blocks = -(-n // MAX_QUERIES)
-    of = lambda k: q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-    return reduce(DataFrame.unionByName, (corpus.join(F.broadcast(of(k))) for k in range(blocks)))
+    of = lambda k: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+    return reduce(DataFrame.unionByName, (rows.join(F.broadcast(of(k))) for k in range(blocks)))
+
+
+def against(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of the corpus with every query, prepared."""
+    return paired(corpus, prepared(queries))
 
 
 def with_terms(corpus: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -86,7 +91,9 @@ def search_code(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, op
     slim = ["chunk_id", "relative_path", "start_line", "end_line", *dict.fromkeys(CODE_FIELDS.values()), "vector"]
     hits = scored(corpus.select(*slim), queries, CODE_FIELDS, CODE_WEIGHTS, o).select("query_id", "chunk_id", "relative_path", "start_line", "end_line", "score", "semantic", "lexical")
     picked = diversified(hits, o.top_k)
-    return picked.join(chunks.select("chunk_id", snippet("content").alias("snippet")), "chunk_id").drop("chunk_id")
+    shown = chunks.select("chunk_id", "content").join(F.broadcast(picked), "chunk_id")  # at most top_k rows for each query
+    # A snippet of an array's one element stays above the join: it is cut for the rows shown, not for all chunks.
+    return shown.select(*(c for c in picked.columns if c != "chunk_id"), F.explode(F.array("content")).alias("__content")).withColumn("snippet", snippet("__content")).drop("__content")
 
 
 ORDER = ("score", "lexical", "semantic", "relative_path", "start_line", "chunk_id")
@@ -102,14 +109,13 @@ def diversified(hits: DataFrame, k: int, first: int = 20_000) -> DataFrame:
     """
     hits = hits.select(F.col("query_id").cast("long").alias("query_id"), *ORDER, "end_line")
     order = [F.col(c) if up else F.desc(c) for c, up in zip(ORDER, RISING, strict=True)]
-    rest, out, most = hits, None, first
+    rest, out, most = hits, [], first
     while True:
-        found = top(rest, most, *order).drop("rank").groupBy("query_id").applyInPandas(_picker(k, most), PICKED + ", settled boolean").persist()
-        done = found.where("settled").drop("settled")
-        out = done if out is None else out.unionByName(done)
-        open_ = [r["query_id"] for r in found.where(~F.col("settled")).select("query_id").distinct().collect()]
+        found = top(rest, most, *order).drop("rank").groupBy("query_id").applyInPandas(_picker(k, most), PICKED + ", settled boolean").collect()  # at most k rows for each query
+        out += [tuple(r)[:-1] for r in found if r["settled"]]
+        open_ = sorted({r["query_id"] for r in found if not r["settled"]})
         if not open_:
-            return out
+            return hits.sparkSession.createDataFrame(out, PICKED)
         rest, most = rest.where(F.col("query_id").isin(open_)), most * 8
 
 
@@ -134,12 +140,28 @@ def diverse_order(m: pd.DataFrame, k: int) -> tuple[list[int], bool]:
     waiting: list[int] = []
     of_file: dict[str, list[int]] = {}  # chosen rows of each file, in order of choice
 
+    # For each row the first later one of another file, and of each file its next rows: whether an unchosen file has a row near enough.
+    later: dict[str, list[int]] = {}
+    for j, p in enumerate(path):
+        later.setdefault(p, []).append(j)
+    unchosen = sorted((rows[0], p) for p, rows in later.items())
+    at_file = dict.fromkeys(later, 0)
+
     def other_file_near(i: int) -> bool:
-        j = i + 1
-        while j < len(path) and score[i] - score[j] <= FILE_GAP:
-            if path[j] not in of_file:
-                return True
-            j += 1
+        """Whether a row after i, at most FILE_GAP below it, is of a file with no row chosen. Files come by their first row after i."""
+        while unchosen:
+            first, p = unchosen[0]
+            if p in of_file:
+                heapq.heappop(unchosen)
+                continue
+            if first > i:
+                return score[i] - score[first] <= FILE_GAP
+            own = later[p]
+            while at_file[p] < len(own) and own[at_file[p]] <= i:
+                at_file[p] += 1
+            heapq.heappop(unchosen)
+            if at_file[p] < len(own):
+                heapq.heappush(unchosen, (own[at_file[p]], p))
         return False
 
     def twin_of(i: int) -> int | None:

@@ -48,7 +48,7 @@ def fielded(query: str, q: str, fields: dict[str, tuple[str, str]], weights: dic
     return f"(CASE WHEN len({q}) = 0 OR ({low}) <= 0 THEN 0.0 ELSE ({top}) / ({low}) END)"
 
 
-def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[str, str]:
+def sql(texts, intents, signatures, code_weights, identifier_weights, declarations) -> dict[str, str]:
     values = ", ".join(f"({i}::BIGINT, {_lit(t)})" for i, t in enumerate(texts))
     q = f"q AS (SELECT query_id, query, {tokens('query')} AS terms FROM (VALUES {values}) v(query_id, query))"
     docs = f"d AS (SELECT doc_id, source, lang, text, {tokens('text')} AS tt, {tokens('source')} AS ts, {tokens('lang')} AS tl FROM documents)"
@@ -56,7 +56,8 @@ def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[st
     vec = "list_transform(embedding, lambda x: x::DOUBLE)"
     cos = lambda a, b: f"(CASE WHEN sqrt(list_dot_product({a}, {a})) = 0 OR sqrt(list_dot_product({b}, {b})) = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END)"
     concept = fielded("query", "terms", {"path": own["path"], "body": own["body"]}, code_weights[I.CONCEPT])
-    hybrid = f"""WITH {q}, {docs}, e AS (SELECT vec_id, {vec} AS v FROM embeddings),
+    asking = f"q AS (SELECT query_id, query, {tokens('query')} AS terms FROM (SELECT vec_id AS query_id, ({_list(texts)})[(vec_id // 100) % {len(texts)} + 1] AS query FROM embeddings WHERE vec_id % 100 = 0))"
+    hybrid = f"""WITH {asking}, {docs}, e AS (SELECT vec_id, {vec} AS v FROM embeddings),
       s AS (SELECT query_id, doc_id, source, {cos("e.v", "f.v")} AS sem, {concept} AS lex
             FROM d JOIN e ON doc_id = e.vec_id CROSS JOIN q JOIN e f ON f.vec_id = query_id),
       c AS (SELECT *, least(1.0, greatest(0.0, (0.72 * greatest(sem, 0.0) + 0.28 * lex) / (0.72 + 0.28))) AS com FROM s)"""
@@ -84,6 +85,22 @@ def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[st
             SELECT {key}, 0, 1, greatest(1, len({lines('text')})), {strip(f"array_to_string({lines('text')}, chr(10))")} FROM {source} WHERE {key} NOT IN (SELECT k FROM f))"""
     talk = "(SELECT conv_id, string_agg(text || chr(10), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
     marked = "(SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+    symbol_chunks = f"""WITH l AS (SELECT doc_id, source, lang, {lines('text')} AS ls FROM documents), m AS (SELECT *, len(ls) AS n FROM l),
+      r AS (SELECT *, unnest(range(0, (n - 1) // 50 + 1)) AS b FROM m WHERE n > 0),
+      x AS (SELECT *, 2 * b AS ordinal, 'class' AS kind, b * 50 + 1 AS a, least(n, b * 50 + 50) AS e FROM r UNION ALL SELECT *, 2 * b + 1, 'function', least(n, b * 50 + 2), least(n, b * 50 + 6) FROM r),
+      z AS (SELECT doc_id, source, lang, n, b, ordinal, kind, a, e, {strip("array_to_string(ls[a:e], chr(10))")} AS c FROM x UNION ALL SELECT doc_id, source, lang, n, 0, 0, 'text', 1, 1, '' FROM m WHERE n = 0)"""
+    height = {x: b.count("\n") for x, _, _, b in declarations}
+    text = lambda x, a, b: f"('{x}', {_lit(a)}, {_lit(b)})".replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+    files = f"""p AS (SELECT p_brand, 'N' || p_partkey AS name, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+      d(ext, lead, rest) AS (VALUES {', '.join(text(x, a, b) for x, _, a, b in declarations)}),
+      f AS (SELECT translate(p_brand, '# ', '__') || '/all' || ext AS path, ext, p_brand, CASE WHEN ext = '.py' THEN '# ' ELSE '// ' END || p_brand || chr(10) || string_agg(lead || name || rest, '' ORDER BY k) AS content FROM p CROSS JOIN d GROUP BY p_brand, ext)"""
+    shown = {".py": "def {}(x):", ".ts": "function {}(x: string) {{", ".js": "class {} {{", ".go": "{} struct {{", ".rs": "pub trait {} {{", ".kt": "fun {}(x: Int): Int {{"}
+    signature = "CASE ext " + " ".join(f"WHEN '{x}' THEN {_lit(v.split('{}')[0])} || name || {_lit(v.split('{}')[1].replace('{{', '{'))}" for x, v in shown.items()) + " END"
+    languages = {".py": "python", ".ts": "typescript", ".js": "javascript", ".go": "go", ".rs": "rust", ".kt": "kotlin"}
+    of = lambda table: "CASE ext " + " ".join(f"WHEN '{x}' THEN {v!r}" for x, v in table.items()) + " END"
+    last = {x: h - 1 for x, h in height.items()}
+    parts = {"path": ("p_type", "tp"), "header": ("p_brand", "th"), "symbol_name": ("p_name", "tn"), "signature": ("sig", "tg"), "context": ("ctx", "tc")}
+    found = fielded("query", "terms", parts, identifier_weights[I.CONCEPT])
     squeeze = f"array_to_string({distinct(tokens('p_name'))}, '')"
     words = lambda ws: f"len(list_filter(t, lambda x: list_contains({_list(ws)}, x))) > 0"
     asked = ", ".join(f"({i - 100}::BIGINT, {_lit(t)})" for i, t in enumerate(intents))
@@ -109,13 +126,12 @@ def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[st
         "markdown_sections": rf"""WITH l AS (SELECT conv_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS x, len(ls) AS m FROM (SELECT conv_id, {lines('text')} AS ls FROM {marked})),
             h AS (SELECT conv_id, n, m FROM l WHERE regexp_matches({strip('x')}, '^(#{{1,6}})\s+\S'))
             SELECT conv_id, n::INTEGER AS start_line, coalesce(lead(n) OVER (PARTITION BY conv_id ORDER BY n) - 1, m)::INTEGER AS end_line FROM h""",
-        "symbol_chunks": f"""WITH l AS (SELECT doc_id, {lines('text')} AS ls FROM documents), s(ordinal, kind, a, b) AS (VALUES (0, 'class', 1, 3), (1, 'function', 2, 3), (2, 'function', 4, 4))
-            SELECT doc_id, ordinal, kind, length({strip("coalesce(array_to_string(ls[a:b], chr(10)), '')")})::INTEGER AS n_chars FROM l CROSS JOIN s""",
-        "chunk_fields": """WITH d AS (SELECT source || '/' || doc_id AS p, lang, substr(text, 1, 40) AS c FROM documents)
-            SELECT p AS relative_path, sha256(p || '::text::2::2::0') AS chunk_id,
-              sha256('ollama::m::' || array_to_string(list_filter([lang, 'class Box' || chr(10) || 'Box' || chr(10) || 'function open' || chr(10) || 'open' || chr(10) || 'function shut' || chr(10) || 'shut', 'class Box' || chr(10) || 'Box', c, p], lambda x: x <> ''), chr(10))) AS embedding_id,
-              'class Box' || chr(10) || 'Box' AS local_symbol_text FROM d""",
-        "cosine_topk": f"""WITH e AS (SELECT vec_id, {vec} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round({cos("e.v", "q.v")}, 6) AS similarity FROM e CROSS JOIN e q WHERE q.vec_id < 5),
+        "symbol_chunks": symbol_chunks + " SELECT doc_id, ordinal::INTEGER AS ordinal, kind, a::INTEGER AS start_line, e::INTEGER AS end_line, length(c)::INTEGER AS n_chars, md5(c) AS digest FROM z",
+        "chunk_fields": symbol_chunks + """, y AS (SELECT source || '/' || doc_id AS p, lang, kind, a, e, ordinal, c, CASE WHEN n = 0 THEN '' WHEN kind = 'function' AND n > b * 50 + 1 THEN 'def open' || b || chr(10) || 'open' || b ELSE 'class Box' || b || chr(10) || 'Box' || b END AS local,
+              CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(range(0, (n - 1) // 50 + 1), lambda k: 'class Box' || k || chr(10) || 'Box' || k || chr(10) || 'def open' || k || chr(10) || 'open' || k), chr(10)) END AS every FROM z)
+            SELECT p AS relative_path, sha256(p || '::' || kind || '::' || a || '::' || e || '::' || ordinal) AS chunk_id,
+              sha256('ollama::m::' || array_to_string(list_filter([lang, every, local, c, p], lambda x: x <> ''), chr(10))) AS embedding_id, local AS local_symbol_text FROM y""",
+        "cosine_topk": f"""WITH e AS (SELECT vec_id, {vec} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round({cos("e.v", "q.v")}, 6) AS similarity FROM e CROSS JOIN e q WHERE q.vec_id % 100 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10""",
         "vectors_join": f"SELECT doc_id, len(embedding)::BIGINT AS dims, round(sqrt(list_dot_product({vec}, {vec})), 6) AS norm FROM documents JOIN embeddings ON doc_id = vec_id",
         "fielded_keyword_score": f"WITH {q}, {docs} SELECT doc_id, query_id, " + ", ".join(f"round({fielded('query', 'terms', own, w)}, 6) AS {n}" for n, w in code_weights.items()) + " FROM d CROSS JOIN q",
@@ -127,7 +143,7 @@ def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[st
             SELECT query_id, CASE WHEN {words(I.WORKFLOW_WORDS)} THEN '{I.WORKFLOW}'
               WHEN len(t) > 0 AND (contains(s, '_') OR regexp_matches(s, '[a-z][A-Z]|[A-Z]{{2,}}[a-z]') OR (len(t) <= 4 AND list_contains({_list(I.LEADING_VERBS)}, t[1]))) THEN '{I.SYMBOL}'
               WHEN {words(I.IMPLEMENTATION_WORDS)} THEN '{I.IMPLEMENTATION}' ELSE '{I.CONCEPT}' END AS intent FROM b""",
-        "identifier_promotion": f"""WITH n AS (SELECT *, {distinct(tokens('p_name'))} AS nt FROM part), s AS (SELECT q.p_partkey AS query_id, p.p_partkey, q.nt AS qt, p.nt AS nt, p.p_size / 100 AS score, {boost.replace('qt', 'q.nt').replace('(nt', '(p.nt').replace('(nt,', '(p.nt,')} AS boost FROM n p CROSS JOIN n q WHERE q.p_partkey <= 5),
+        "identifier_promotion": f"""WITH n AS (SELECT *, {distinct(tokens('p_name'))} AS nt FROM part), s AS (SELECT q.p_partkey AS query_id, p.p_partkey, q.nt AS qt, p.nt AS nt, p.p_size / 100 AS score, {boost.replace('qt', 'q.nt').replace('(nt', '(p.nt').replace('(nt,', '(p.nt,')} AS boost FROM n p CROSS JOIN n q WHERE q.p_partkey % 100 = 0),
             r AS (SELECT query_id, p_partkey, round(score + boost, 4) AS score FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey)::INTEGER AS rank FROM r) SELECT query_id, rank, p_partkey, score FROM t WHERE rank <= 10""",
         "kind_inference": f"""WITH s AS (SELECT DISTINCT signature FROM (SELECT * FROM (VALUES {kinds}) v(signature) UNION ALL SELECT ['class ', 'type ', 'let ', 'x function ', ''][(p_partkey % 5 + 1)::INTEGER] || p_name FROM part)), l AS (SELECT signature, lower(signature) AS s, ' ' || lower(signature) || ' ' AS p FROM s)
             SELECT signature, CASE WHEN starts_with(s, 'class ') OR contains(s, ' class ') THEN 'class' WHEN contains(p, ' interface ') THEN 'interface' WHEN contains(p, ' enum ') THEN 'enum' WHEN starts_with(s, 'type ') OR contains(p, ' type ') THEN 'type'
@@ -146,5 +162,30 @@ def sql(texts, intents, signatures, code_weights, identifier_weights) -> dict[st
             WHERE doc_id <> 5 AND regexp_matches(x, '(^|[^\pL\pN_$])worthless($|[^\pL\pN_$])')""",
         "directory_tree": f"SELECT DISTINCT array_to_string(parts[1:n], '/') AS directory FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM (SELECT string_split(relative_path, '/') AS parts FROM {path}))",
         "files_by_directory": f"SELECT directory, count(*) AS n, string_agg(relative_path, ',' ORDER BY relative_path) AS paths FROM (SELECT CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '.' END AS directory, relative_path FROM {path}) GROUP BY directory",
+        "language_symbols": f"""WITH {files}, s AS (SELECT translate(p_brand, '# ', '__') || '/all' || ext AS relative_path, ext, {of({x: k for x, k, _, _ in declarations})} AS kind, 2 + (i - 1) * {of(height)} AS a, 2 + (i - 1) * {of(height)} + {of(last)} AS e, {signature} AS sig FROM p CROSS JOIN d
+              UNION ALL SELECT translate(p_brand, '# ', '__') || '/all.rs', '.rs', 'function', 2 + (i - 1) * {height['.rs']} + 1, 2 + (i - 1) * {height['.rs']} + 1, 'fn go(&self);' FROM p)
+            SELECT relative_path, {of(languages)} AS language, 1 AS n_headers, kind, count(*) AS n, sum(a)::BIGINT AS starts, sum(e)::BIGINT AS ends, min(sig) AS first_signature FROM s GROUP BY ALL""",
+        "file_manifest": f"WITH {files} SELECT path AS relative_path, octet_length(encode(content)) AS size_bytes, sha256(content) AS content_hash FROM f",
+        "identifier_fields": f"""WITH {files}, s AS (SELECT translate(p_brand, '# ', '__') || '/all.py' AS path, p_brand AS header, name, 'def ' || name || '(x):' AS sig, (2 * i)::INTEGER AS a, (2 * i + 1)::INTEGER AS e, i - 1 AS ordinal FROM p),
+            c AS (SELECT *, array_to_string([header, name, sig, path], chr(10)) AS ctx FROM s)
+            SELECT path AS relative_path, name AS symbol_name, a AS start_line, e AS end_line, sig AS content, ctx AS context_text, sha256(path || '::' || name || '::' || a || '::' || e || '::' || ordinal) AS doc_id,
+              sha256('ollama::m::' || array_to_string([header, name, sig, path, ctx], chr(10))) AS embedding_id FROM c""",
+        "index_chunks": chunk_step("conv_id", f"(SELECT * FROM {marked} WHERE conv_id % 2 = 0)", 600) + f""", mt AS (SELECT conv_id, {lines('text')} AS ls FROM {marked}), ml AS (SELECT conv_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS x, len(ls) AS m FROM mt),
+            mh AS (SELECT conv_id, n, m FROM ml WHERE regexp_matches({strip('x')}, '^(#{{1,6}})\\s+\\S')), mr AS (SELECT conv_id, n AS s, coalesce(lead(n) OVER (PARTITION BY conv_id ORDER BY n) - 1, m) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1 AS ordinal FROM mh)
+            SELECT conv_id, '.md' AS ext, ordinal::INTEGER AS ordinal, 'markdown' AS kind, s::INTEGER AS start_line, e::INTEGER AS end_line, length({strip("array_to_string(ls[s:e], chr(10))")})::INTEGER AS n_chars FROM mr JOIN mt USING (conv_id)
+            UNION ALL SELECT k, '.txt', ordinal::INTEGER, 'text', s::INTEGER, e::INTEGER, length(c)::INTEGER FROM z""",
+        "ignored_paths": rf"""SELECT relative_path, CASE WHEN regexp_matches(relative_path, '(^|/)m[.][^/]*/') OR regexp_matches(relative_path, '(^|/)[^/]*17(/|$)') THEN false
+              ELSE regexp_matches(relative_path, '(^|/)en/1|^www[.][^/]*/de(/|$)|(^|/)[^/]*7(/|$)|(^|/)blog[.][^/]*/') END AS ignored FROM {path}""",
+        "usages_outside_definitions": rf"""SELECT doc_id::VARCHAR AS relative_path, count(*) AS n, min(i)::INTEGER AS first_line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT doc_id, {lines('text')} AS ls FROM documents))
+            WHERE i > 1 AND regexp_matches(x, '(^|[^\pL\pN_$])the($|[^\pL\pN_$])') GROUP BY doc_id""",
+        "identifier_search": f"""WITH {asking}, e AS (SELECT vec_id, {vec} AS v FROM embeddings),
+            d AS (SELECT p_partkey, p_name, p_type, p_brand, 'def ' || p_name AS sig, p_brand || ' ' || p_name AS ctx, {tokens('p_type')} AS tp, {tokens('p_brand')} AS th, {tokens('p_name')} AS tn, {tokens("'def ' || p_name")} AS tg, {tokens("p_brand || ' ' || p_name")} AS tc FROM part),
+            s AS (SELECT d.*, q.*, {cos("e.v", "g.v")} AS sem, {found} AS lex FROM d JOIN e ON p_partkey = e.vec_id CROSS JOIN q JOIN e g ON g.vec_id = query_id),
+            c AS (SELECT *, least(1.0, greatest(0.0, (0.72 * greatest(sem, 0.0) + 0.28 * lex) / (0.72 + 0.28))) AS com FROM s),
+            b AS (SELECT *, {distinct('terms')} AS qt, {distinct('tn')} AS nt FROM c WHERE com >= 0.1),
+            o AS (SELECT *, round(round(com, 4) + CASE WHEN len(qt) > 0 AND array_to_string(qt, '') = array_to_string(nt, '') THEN 0.12 WHEN len(qt) >= 2 AND len(nt) > len(qt) AND len(list_filter(qt, lambda x: NOT list_contains(nt, x))) = 0 THEN 0.04 ELSE 0.0 END
+              + CASE WHEN contains(lower(sig), lower({strip('query')})) THEN 0.03 ELSE 0.0 END + CASE WHEN contains(lower(p_brand), lower({strip('query')})) THEN 0.02 ELSE 0.0 END, 4) AS score FROM b),
+            t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(lex, 4) DESC, round(sem, 4) DESC, p_type, p_partkey)::INTEGER AS rank FROM o)
+            SELECT query_id, rank, p_type AS relative_path, 'function' AS kind, p_name AS name, sig AS signature, p_partkey::INTEGER AS line_start, p_partkey::INTEGER AS line_end, score, round(sem, 4) AS semantic, round(lex, 4) AS lexical FROM t WHERE rank <= 5""",
         "path_scope": f"SELECT relative_path, true AS everything, relative_path = 'site1.example.com' OR starts_with(relative_path, 'site1.example.com/') AS one_host FROM {path}",
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -12,7 +14,7 @@ from tessellar.functions.scoring import SearchOptions
 from tessellar.operators import changes, search
 from tessellar.operators.chunking import chunked
 from tessellar.operators.documents import chunk_documents, identifier_documents
-from tessellar.operators.embedding import Fetcher, embedded, hashing_embedder
+from tessellar.operators.embedding import Fetcher, embedded, fetched, hashing_embedder, misses, within
 from tessellar.plans import models
 from tessellar.plans.store import CHUNKER_VERSION, PARSER_VERSION, SCHEMA_VERSION, Metadata, Store, namespaces
 from tessellar.sources import ignore
@@ -49,7 +51,8 @@ class Index:
         self.spark, self.target = spark, Path(target_dir).resolve()
         self.model = models.explicit(model) if isinstance(model, str) else model
         self.cache = str(cache_dir or self.target / ".tessellar")
-        self.store, self.fetch, self.depth = Store(spark, self.cache, self.model.namespace), fetch, depth
+        self.store, self.depth = Store(spark, self.cache, self.model.namespace), depth
+        self.fetch = within(fetch, self.model.environment, single=self.model.provider == "vertex_ai")
 
     # What is there, and what is wanted.
 
@@ -60,7 +63,7 @@ class Index:
         return Metadata(SCHEMA_VERSION, self.model.provider, self.model.name, PARSER_VERSION, CHUNKER_VERSION, ignore.fingerprint(self.target), str(self.target))
 
     def plan(self) -> DataFrame:
-        return changes.refresh_plan(manifest(self.files()), self.store.table("files"), "relative_path", ["size_bytes", "content_hash"])
+        return changes.refresh_plan(manifest(self.files()), self.store.table("files"), "relative_path", ["size_bytes", "mtime_ns", "content_hash"])
 
     def status(self) -> Status:
         if not self.store.current():
@@ -74,23 +77,32 @@ class Index:
 
     # Changes.
 
-    def _documents(self, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    @contextmanager
+    def _documents(self, files: DataFrame) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+        """Chunks, identifiers and symbols of files, which are read and parsed once while these are in use."""
         parsed = analysed(files).persist()
         chunks = chunk_documents(chunked(parsed), self.model.provider, self.model.name)
         docs = identifier_documents(parsed, self.model.provider, self.model.name)
         symbols = parsed.select("relative_path", "language", F.explode("symbols").alias("s")).select("relative_path", "language", "s.*")
-        return chunks, docs, symbols
+        try:
+            yield chunks, docs, symbols
+        finally:
+            parsed.unpersist()
+
+    def _cache(self) -> tuple[str, DataFrame]:
+        """Where this model's vectors by text are kept, and what is there."""
+        path, schema = f"{self.cache.rstrip('/')}/embeddings/{self.model.namespace}", "text_sha string, vector array<double>"
+        known = self.store.files.exists(path)
+        return path, self.spark.read.schema(schema).parquet(path) if known else self.spark.createDataFrame([], schema)
 
     def _embeddings(self, chunks: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
         """known and the vectors of documents that it lacks; equal texts are fetched once, cached ones not at all."""
         every = chunks.select("embedding_id", F.col("indexed_text").alias("text")).union(docs.select("embedding_id", F.col("indexed_text").alias("text"))).dropDuplicates(["embedding_id"])
         lacking = every.join(known.select("embedding_id"), "embedding_id", "left_anti")
-        cache_path = f"{self.cache.rstrip('/')}/embeddings/{self.model.namespace}"
-        empty = self.spark.createDataFrame([], "text_sha string, vector array<double>")
-        cache = self.spark.read.schema(empty.schema).parquet(cache_path) if self.store.files.exists(cache_path) else empty
-        got, new = embedded(lacking, cache, self.fetch)
-        new.write.mode("append").parquet(cache_path)
-        cache = self.spark.read.schema(empty.schema).parquet(cache_path).dropDuplicates(["text_sha"])
+        path, cache = self._cache()
+        _, new = embedded(lacking, cache, self.fetch)
+        new.write.mode("append").parquet(path)
+        cache = self._cache()[1].dropDuplicates(["text_sha"])
         keyed = lacking.withColumn("text_sha", F.sha2(F.col("text").cast("binary"), 256)).join(cache, "text_sha")
         fresh = keyed.select("embedding_id", F.lit(self.model.provider).alias("provider"), F.lit(self.model.name).alias("model"), "vector")
         return known.unionByName(fresh)
@@ -98,9 +110,9 @@ class Index:
     def init(self) -> Status:
         """Builds everything anew."""
         files = self.files()
-        chunks, docs, symbols = self._documents(files)
         none = self.store.spark.createDataFrame([], "embedding_id string, provider string, model string, vector array<double>")
-        self.store.publish(self.wanted(), {"files": manifest(files), "chunks": chunks, "identifiers": docs, "symbols": symbols, "embeddings": self._embeddings(chunks, docs, none)})
+        with self._documents(files) as (chunks, docs, symbols):
+            self.store.publish(self.wanted(), {"files": manifest(files), "chunks": chunks, "identifiers": docs, "symbols": symbols, "embeddings": self._embeddings(chunks, docs, none)})
         return self.status()
 
     def refresh(self, full: bool = False) -> Status:
@@ -114,13 +126,13 @@ class Index:
         files, plan = self.files(), self.plan().persist()
         changed = plan.where("action = 'changed'").select("relative_path")
         current = files.select("relative_path")
-        chunks, docs, symbols = self._documents(files.join(changed, "relative_path", "left_semi"))
         table = self.store.table
-        all_chunks = changes.replaced(table("chunks"), chunks.select(*table("chunks").columns), changed, current, "relative_path")
-        all_docs = changes.replaced(table("identifiers"), docs.select(*table("identifiers").columns), changed, current, "relative_path")
-        all_symbols = changes.replaced(table("symbols"), symbols.select(*table("symbols").columns), changed, current, "relative_path")
-        vectors = changes.referenced(self._embeddings(chunks, docs, table("embeddings")), "embedding_id", all_chunks, all_docs)
-        self.store.publish(self.wanted(), {"files": manifest(files), "chunks": all_chunks, "identifiers": all_docs, "symbols": all_symbols, "embeddings": vectors})
+        new_rows = lambda name, rows: changes.replaced(table(name), rows.select(*table(name).columns), changed, current, "relative_path")
+        with self._documents(files.join(changed, "relative_path", "left_semi")) as (chunks, docs, symbols):
+            tables = {"files": manifest(files), "chunks": new_rows("chunks", chunks), "identifiers": new_rows("identifiers", docs), "symbols": new_rows("symbols", symbols)}
+            tables["embeddings"] = changes.referenced(self._embeddings(chunks, docs, table("embeddings")), "embedding_id", tables["chunks"], tables["identifiers"])
+            self.store.publish(self.wanted(), tables)
+        plan.unpersist()
         return self.status()
 
     def ensure(self) -> Status:
@@ -136,9 +148,16 @@ class Index:
     # Queries.
 
     def queries(self, texts: list[str]) -> DataFrame:
-        """Query texts with their vectors, which are cached as documents' are."""
-        vectors = self.fetch(texts)
-        return self.spark.createDataFrame([(i, t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, vectors, strict=True))], "query_id long, query string, vector array<double>")
+        """Query texts with their vectors, which are cached as documents' are: a text is fetched once."""
+        rows = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+        path, cache = self._cache()
+        keyed = rows.withColumn("text_sha", F.sha2(F.col("text").cast("binary"), 256))
+        lacking = misses(keyed, cache).persist()
+        if lacking.head(1):
+            fetched(lacking, self.fetch).write.mode("append").parquet(path)
+        lacking.unpersist()
+        known = self._cache()[1].join(F.broadcast(keyed.select("text_sha").distinct()), "text_sha").dropDuplicates(["text_sha"])
+        return keyed.join(known, "text_sha").select("query_id", F.col("text").alias("query"), "vector")
 
     def search_code(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         self.ensure()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.operators import impact
-from tessellar.sources.files import analysed, directories, language, resolved, walk
+from tessellar.sources.files import analysed, language, resolved, walk
 
 TREE_TOKENS = 20_000
 
@@ -53,12 +53,12 @@ def tree(spark: SparkSession, root: str | Path, target: str = ".", depth: int =
 
 
 def tree_payload(spark: SparkSession, root: str | Path, target: str = ".", depth: int = 2, symbols: bool = True, max_tokens: int = TREE_TOKENS) -> dict:
-    rows = entries(spark, root, target, depth).persist()
+    rows = entries(spark, root, target, depth).collect()  # what is shown
     files = [
         {"path": r["relative_path"], "language": r["language"], "header_lines": list(r["header_lines"]), "symbols": [s.asDict() for s in r["symbols"]] if symbols else []}
-        for r in rows.orderBy("relative_path").collect()
+        for r in rows
     ]
-    folders = [r["directory"] for r in directories(rows).orderBy("directory").collect()]
+    folders = sorted({f.as_posix() for r in rows for f in PurePosixPath(r["relative_path"]).parents} - {"."})
     return {
         "command": "tree", "depth_limit": depth, "directories": folders, "files": files, "include_symbols": symbols,
         "max_tokens": max_tokens, "root": Path(root).resolve().name, "target_path": target,
@@ -67,9 +67,7 @@ def tree_payload(spark: SparkSession, root: str | Path, target: str = ".", depth
 
 def _one(spark: SparkSession, root: str | Path, path: str):
     base, at = resolved(root, path)
-    rows = spark.read.format("binaryFile").load(str(at)).select(
-        F.lit(at.relative_to(base).as_posix()).alias("relative_path"), F.lit(at.suffix.lower()).alias("ext"), "content"
-    )
+    rows = spark.createDataFrame([(at.relative_to(base).as_posix(), at.suffix.lower(), at.read_bytes())], "relative_path string, ext string, content binary")
     return analysed(rows).first()
 
 

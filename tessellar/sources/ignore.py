@@ -46,7 +46,8 @@ def pattern_regex(pattern: str) -> str | None:
 
 
 def _read(path: Path) -> list[str]:
-    return [x for x in path.read_text(encoding="utf-8").splitlines() if x.strip() and not x.strip().startswith("#")] if path.is_file() else []
+    lines = path.read_text(encoding="utf-8").splitlines() if path.is_file() else []
+    return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
 
 
 @dataclass(frozen=True)

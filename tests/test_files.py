@@ -204,3 +204,56 @@ def test_diversity_matches_the_plain_rules():
         m = pd.DataFrame({"id": range(n), "relative_path": [f"f{r.randint(0, 4)}" for _ in range(n)], "start_line": [r.randint(1, 30) for _ in range(n)], "score": sorted((round(r.random() * 0.5, 3) for _ in range(n)), reverse=True), "lexical": [round(r.random(), 1) for _ in range(n)], "semantic": [round(r.random(), 1) for _ in range(n)]})
         m["end_line"] = m["start_line"] + [r.randint(0, 6) for _ in range(n)]
         assert diverse_order(m, 5)[0] == plain_order(m, 5)
+
+
+def test_walk_takes_names_that_start_with_marks(spark, tmp_path):
+    put(tmp_path, {"__init__.py": "", "_a/__main__.py": "x = 1\n", ".hidden/b.py": "", "c/d/e/f/g.py": "", ".ignore": "  c/d/e/f/  \n", ".git/h.py": "", "c/d/i.py": "", "c/d/e/j.py": "q"})
+    rows = walk(spark, tmp_path, depth=9).orderBy("relative_path").collect()
+    assert [(r["relative_path"], r["depth"], r["size_bytes"]) for r in rows] == [(".hidden/b.py", 1, 0), ("__init__.py", 0, 0), ("_a/__main__.py", 1, 6), ("c/d/e/j.py", 3, 1), ("c/d/i.py", 2, 0)]
+    assert all(r["mtime_ns"] == (tmp_path / r["relative_path"]).stat().st_mtime_ns for r in rows)
+    assert walk(spark, tmp_path, "c/d/e/f").count() == 0 and walk(spark, tmp_path, "c/d/e/f/g.py").count() == 0
+    assert render.skeleton(spark, tmp_path, "__init__.py").endswith("symbols: none")
+
+
+def test_queries_are_fetched_once(spark, tmp_path):
+    import os
+
+    from tessellar.operators.embedding import within
+
+    log = tmp_path / "log"
+
+    def fetch(texts):
+        with log.open("a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return [[float(len(t))] for t in texts]
+
+    at = Index(spark, put(tmp_path / "p", {"a.py": "x = 1\n"}), MODEL, tmp_path / "cache", fetch)
+    for _ in range(2):
+        got = at.queries(["one", "three", "one"]).orderBy("query_id").collect()
+        assert [(r["query"], list(r["vector"])) for r in got] == [("one", [3.0]), ("three", [5.0]), ("one", [3.0])]
+    assert sorted(log.read_text().split()) == ["one", "three"]
+    seen = []
+    single = within(lambda texts: seen.append((len(texts), os.environ.get("TESSELLAR_T"))) or [[1.0]] * len(texts), {"TESSELLAR_T": "v"}, single=True)
+    assert single(["a", "b"]) == [[1.0], [1.0]] and seen == [(1, "v"), (1, "v")] and "TESSELLAR_T" not in os.environ
+
+
+def test_target_label(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert cli.target_label(tmp_path.resolve()) == "." and cli.target_label(tmp_path.resolve() / "a/b") == "a/b"
+    assert cli.target_label(tmp_path.resolve().parent) == tmp_path.resolve().parent.as_posix() and cli.target_label(tmp_path, "x/") == "x"
+
+
+def test_store_keeps_the_version_before(spark, tmp_path):
+    from tessellar.plans.store import Metadata, Store
+
+    store, meta = Store(spark, str(tmp_path), "n"), Metadata("1", "p", "m", "1", "1", "f", "t")
+    empty = lambda n: store.table(n)
+    row = lambda h: spark.createDataFrame([("a.py", 1, 2, h)], "relative_path string, size_bytes long, mtime_ns long, content_hash string")
+    seen = []
+    for h in "abc":
+        store.publish(meta, {"files": row(h), **{n: empty(n) for n in ("chunks", "identifiers", "embeddings", "symbols")}})
+        seen.append(store.table("files"))
+        assert [r["content_hash"] for t in seen[-2:] for r in t.collect()] == [*"abc"[max(0, len(seen) - 2) : len(seen)]]
+    assert len(store.pointer.numbers()) == 2
+    (tmp_path / "indexes/n/CURRENT-000000000004").write_text("{half")
+    assert store.current() is None and store.pointer.read(1)["metadata"]["provider"] == "p"
