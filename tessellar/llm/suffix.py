@@ -6,16 +6,16 @@ A window is WINDOW bytes of one document. Equal windows hold the same GRAM-byte
 1. A first pass keeps, for each anchor occurrence, the anchor's hash and that of its context: the
    bytes of all windows that it stands for. A grouped count says which anchors occur once (their
    windows are unique), always in the same context, or in different contexts. The last two sets become
-   Bloom filters of fixed size; false positives only let unneeded rows pass.
-2. A second pass sends what the filters let through. Occurrences in one same context need no order:
-   their keys are counted exactly and joined. The others go, with their context's bytes, to shards by
-   anchor. Contexts of one anchor are one string of the shard, each different one once; suffixes are
+   Bloom filters sized by their keys (at most 128 MB each); false positives only let unneeded rows pass.
+2. A second pass writes what the filters let through, a context's bytes once for each task that meets it. Contexts
+   are counted by anchor and hash (128 bits together): all windows of one that occurs again repeat. What is left
+   are anchors with different contexts, each context once. They go, with their bytes, to shards by
+   anchor. Contexts of one anchor are one string of the shard; suffixes are
    classified, leftmost smaller substrings sorted recursively and all suffixes induced from them, and
    the permuted common prefix of each window with its predecessor tells which ones repeat.
    An anchor with more than CONTEXTS different contexts is cut finer first: into halves of its
-   windows' range, each by the bytes common to that half. Occurrences of anchors with more than hot(...)
-   of them are counted by context first: those of a context that occurs again are settled. Of each
-   different context one occurrence is cut into ranges of STRETCH windows, which are counted by the
+   windows' range, each by the bytes common to that half. Contexts of anchors that occur more than HOT
+   times (a third filter says which) are cut into ranges of STRETCH windows instead, which are counted by the
    bytes common to the range: once, and all its windows are unique; always in the same context, and all
    repeat; the few others, at the ends of a common passage, are counted window by window. So no task
    ever holds a whole hot group.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import stored
+from tessellar.llm.common import Filter, stored
 from tessellar.llm.sais import suffix_arrays
 
 WINDOW, GRAM = 200, 100
@@ -45,7 +45,6 @@ CONTEXTS = 64
 HOT = 20_000
 STRETCH = 8
 SYMBOLS = 2_000_000  # of the strings that one call sorts
-BLOOM_BITS = 26
 
 _MULT = 0x9E3779B97F4A7C15
 _BYTE = np.frombuffer(b"".join(hashlib.sha256(b"byte %d" % i).digest()[:8] for i in range(256)), "<u8")
@@ -93,27 +92,6 @@ def anchors(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield h[place], place + at, cut + at, np.diff(np.append(cut, len(least)))
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    m = np.uint64((1 << BLOOM_BITS) - 1)
-    return [((h >> np.uint64(s)) & m).astype(np.int64) for s in (0, 19, 38)]
-
-
-def bloom(keys: DataFrame) -> np.ndarray:
-    """A filter of the column h, built from at most 2048 bitmaps of 4 KB; packed bits."""
-    m = (1 << BLOOM_BITS) - 1
-    at = F.array(*(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(m)) + 1 for s in (0, 19, 38)))
-    p = keys.select(F.explode(at).alias("p"))
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for r in p.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect():
-        bits[(r["b"] - 1) * 32768 : r["b"] * 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-    return np.packbits(bits)
-
-
-def hot(occurrences: int) -> int:
-    """Occurrences from which an anchor is hot; at most 100,000 anchors can be."""
-    return max(HOT, occurrences // 100_000)
-
-
 def repeated_windows(groups: list[list[tuple[bytes, int, int]]]) -> list[np.ndarray]:
     """For each group of different contexts (bytes, anchor's place in them, windows): a row for each context, a column for
     each distance from window to anchor, true where that window occurs again in the group."""
@@ -202,6 +180,8 @@ class _Shards:
                 mask[own] |= row
 
 
+#: Contexts of which one task remembers that it has written their bytes.
+WRITTEN = 500_000
 NAMES = ("h", "ctx", "kind", "doc_id", "th", "start", "n", "place", "data")
 TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 SCHEMA = "h long, ctx long, kind int, doc_id long, th long, start long, n int, place int, data binary"
@@ -260,52 +240,54 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     seen = rows.mapInArrow(keys, "h long, ctx long").groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     known = stored(seen.where("n > 1"), "anchors")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    sc = df.sparkSession.sparkContext
-    hot_ones = [r["h"] for r in known.where((F.col("low") != F.col("high")) & (F.col("n") > hot(total))).select("h").collect()]  # at most 100,000
-    shared = sc.broadcast((bloom(known.where("low = high")), bloom(known.where("low != high")), np.sort(np.array(hot_ones, np.int64).view(np.uint64))))
+    sets = (F.col("low") == F.col("high"), F.col("low") != F.col("high"), (F.col("low") != F.col("high")) & (F.col("n") > HOT))
+    total, *counts = (x or 0 for x in known.agg(F.sum("n"), *(F.count_if(c) for c in sets)).first())
+    shared = df.sparkSession.sparkContext.broadcast(tuple(Filter(known.where(c), "h", n) for c, n in zip(sets, counts, strict=True)))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same, mixed = (np.unpackbits(x).view(bool) for x in shared.value[:2])
-        hottest = shared.value[2]
+        same, mixed, hottest = shared.value
+        written: set = set()
         for b in batches:
             out: list = [[] for _ in NAMES]
-
-            def put(*row, out=out) -> None:
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-
             for d, th, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = t.encode()
                 for h, place, first, n in anchors(raw):
-                    in_mixed = np.logical_and.reduce([mixed[p] for p in _bits(h)])
-                    in_same = np.logical_and.reduce([same[p] for p in _bits(h)])
-                    is_hot = np.isin(h, hottest)
-                    for k in np.flatnonzero(in_mixed | in_same).tolist():
-                        s, m = int(first[k]), int(n[k])
-                        part = raw[s : s + m + WINDOW - 1]
-                        ctx = xxhash.xxh64_intdigest(part)
-                        put(int(h[k].view(np.int64)), _signed(ctx), 2 if is_hot[k] else int(in_mixed[k]), d, th, s, m, int(place[k]) - s, part if in_mixed[k] else None)
+                    in_mixed = mixed.has(h)
+                    at = np.flatnonzero(in_mixed | same.has(h))
+                    if not len(at):
+                        continue
+                    starts, windows, places = first[at], n[at], place[at] - first[at]
+                    kinds = np.where(in_mixed[at], 1 + hottest.has(h[at]), 0)
+                    parts = [raw[s : s + m + WINDOW - 1] for s, m in zip(starts.tolist(), windows.tolist(), strict=True)]
+                    ctx = [xxhash.xxh64_intdigest(part, p) for part, p in zip(parts, places.tolist(), strict=True)]
+                    data = [None] * len(at)
+                    for k in np.flatnonzero(kinds).tolist():
+                        if ctx[k] not in written:
+                            written.add(ctx[k])
+                            data[k] = parts[k]
+                    if len(written) > WRITTEN:
+                        written.clear()
+                    own = (h[at].view(np.int64).tolist(), map(_signed, ctx), kinds.tolist(), [d] * len(at), [th] * len(at), starts.tolist(), windows.tolist(), places.tolist(), data)
+                    for c, v in zip(out, own, strict=True):
+                        c.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, TYPES, strict=True)], names=list(NAMES))
 
-    passed = stored(rows.mapInArrow(sent, SCHEMA), "contexts", partition_by=["kind"])
-    hottest = passed.where("kind = 2")
-    one = F.first(F.struct("doc_id", "th", "start", "n", "place", "data"))
-    contexts = stored(hottest.groupBy("h", "ctx").agg(F.count("*").alias("times"), one.alias("one")), "hot-contexts")
-    settled = hottest.select("h", "ctx", "doc_id", "th", "start", "n").join(contexts.where("times > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
-    cut = stored(contexts.select("one.*").mapInArrow(_stretches, "h long, ctx long, doc_id long, th long, start long, n long, data binary"), "ranges")
+    passed = stored(rows.mapInArrow(sent, SCHEMA), "contexts")
+    one = F.first(F.when(F.col("data").isNotNull(), F.struct("doc_id", "th", "start", "n", "place", "data")), ignorenulls=True)
+    contexts = stored(passed.groupBy("h", "ctx").agg(F.count("*").alias("times"), F.max("kind").alias("kind"), one.alias("one")).where("times > 1 or kind > 0"), "counted", partition_by=["kind"])
+    again = contexts.where("times > 1").select("h", "ctx")
+    settled = passed.select("h", "ctx", "doc_id", "th", "start", F.col("n").cast("long").alias("n")).join(again, ["h", "ctx"], "left_semi").drop("h", "ctx")
+    cut = stored(contexts.where("kind = 2").select("one.*").mapInArrow(_stretches, "h long, ctx long, doc_id long, th long, start long, n long, data binary"), "ranges")
     ranges = cut.groupBy("h").agg(F.count("*").alias("times"), (F.min("ctx") == F.max("ctx")).alias("same")).where("times > 1").select("h", "same")
     cut = stored(cut.join(ranges, "h").select("doc_id", "th", "start", "n", F.when(~F.col("same"), F.col("data")).alias("data")), "stretches")
     each = cut.where("data is not null").mapInArrow(_single, "h long, ctx long, doc_id long, th long, start long, n long")
-    plain = passed.where("kind = 0").select("h", "ctx", "doc_id", "th", "start", F.col("n").cast("long").alias("n")).unionByName(each)
-    twice = plain.groupBy("h", "ctx").agg(F.count("*").alias("times")).where("times > 1").select("h", "ctx")
-    settled = settled.select("doc_id", "th", "start", F.col("n").cast("long").alias("n"))
-    known_runs = plain.join(twice, ["h", "ctx"], "left_semi").drop("h", "ctx").unionByName(cut.where("data is null").drop("data")).unionByName(settled)
+    twice = each.groupBy("h", "ctx").agg(F.count("*").alias("times")).where("times > 1").select("h", "ctx")
+    known_runs = each.join(twice, ["h", "ctx"], "left_semi").drop("h", "ctx").unionByName(cut.where("data is null").drop("data")).unionByName(settled)
     exact = known_runs.select("doc_id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by anchor; as many anchors as make a good shard are sorted together."""
-        held: list[tuple] = []  # hash, id and hash of the text, first window, windows, anchor's place, bytes
+        """Contexts come by anchor; as many anchors as make a good shard are sorted together."""
+        held: list[tuple] = []  # hash, times, id and hash of the text, first window, windows, anchor's place, bytes
         size = 0
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -314,18 +296,16 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             at = 0
             while at < len(held):
                 to = at
-                different: dict = {}
                 while to < len(held) and held[to][0] == held[at][0]:
-                    n, place, data = held[to][4:]
-                    different.setdefault((data, place), (data, place, n, []))[3].append(to)
                     to += 1
-                shards.add(mask, list(different.values()))
+                shards.add(mask, [(held[k][7], held[k][6], held[k][5], [k]) for k in range(at, to)])
                 at = to
             shards.finish(mask)
             out: list = [[], [], [], []]
+            mask[[k for k, r in enumerate(held) if r[1] > 1]] = False  # all of theirs are known to repeat
             edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             for (r, near), (_, past) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
-                _, d, th, start, _, place, _ = held[r]
+                _, _, d, th, start, _, place, _ = held[r]
                 for c, v in zip(out, (d, th, start + place - past + 1, start + place - near + WINDOW), strict=True):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "th", "start", "end"])
@@ -340,7 +320,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         if held:
             yield flush(held)
 
-    mixed_rows = passed.where("kind = 1").select("h", "doc_id", "th", "start", "n", "place", "data")
+    mixed_rows = contexts.where("kind = 1").select("h", "times", "one.*")
     parts = max(12, -(-total // 40_000))
     ordered = mixed_rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort, "doc_id long, th long, start long, end long")
     return exact.unionByName(ordered)
