@@ -148,6 +148,18 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return first.where(~F.col(name)).drop(name).unionByName(second.join(wrongly, column, "left_semi").select(*df.columns))
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], share: int = 10_000, least: int = 1000) -> DataFrame:
+    """left join-ed (inner) with right, which has each key once; both are read from stored tables.
+
+    Keys of at least one in share of left's rows, so at most share of them, are joined by broadcasting their rows of right: no task
+    meets all rows of such a key. The others are joined as usual.
+    """
+    many = max(least, left.count() // share)
+    hot = stored(left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= many).select(*keys), "hot-keys")
+    first = left.join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return first.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """names, each with underscores added until df has no such column (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

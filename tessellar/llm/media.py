@@ -6,14 +6,15 @@ has its top bits zero, at least LEAST and at most MOST bytes apart; equal conten
 wherever it stands.
 
 1. A first pass keeps each row's recipe: the digests and lengths of its chunks.
-2. Digests that occur more than once are found by a grouped count. They go into a Bloom filter of
-   fixed size, the one thing that is broadcast; false positives only send a chunk the longer way.
+2. Digests that occur more than once are found by a grouped count. They go into a Bloom filter sized
+   by their number (at most 128 MB); false positives only send a chunk the longer way.
 3. A second pass writes the store: chunks that occur once stay together in their file's pack, the
    others become rows that are deduplicated by digest. What will be shuffled is compressed first.
 4. Reading back, packs that miss no chunk are read as they are; for the others a join on the digest
    brings the shared chunks, and the ordered list puts the file together. Every chunk's digest and
    the file's digest are verified before features are computed, once for each different file; the
-   rows then take them by the file's digest.
+   rows then take them by the file's digest. Features of the few files that very many rows share, and
+   the few chunks that very many files share, are broadcast instead, so no task holds a hot group.
 
 Null texts count as empty. Equal texts have equal values; repeated rows are rows of their own.
 """
@@ -31,11 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import stored
+from tessellar.llm.common import Filter, hot_join, stored
 
 UNIT = 192
 LEAST, MASK_BITS, MOST = 512, 10, 16_384
-BLOOM_BITS = 26  # 8 MB, whatever the input
 RATE = 8000
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear %d" % i).digest()[:4] for i in range(256)), "<u4").astype(np.uint32)
@@ -108,24 +108,6 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "media", "hi", "lo"])
 
 
-def _positions(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
-    m = np.int64((1 << BLOOM_BITS) - 1)
-    return [hi & m, (hi >> np.int64(32)) & m, lo & m, (lo >> np.int64(32)) & m]
-
-
-def bloom(digests: DataFrame) -> np.ndarray:
-    """The filter's bits, from the digests' (hi, lo); at most 2048 bitmaps of 4 KB reach the driver."""
-    m = (1 << BLOOM_BITS) - 1
-    at = F.array(*(F.shiftright(F.col(c), s).bitwiseAND(F.lit(m)) + 1 for c in ("hi", "lo") for s in (0, 32)))
-    p = digests.select(F.explode(at).alias("p"))
-    maps = p.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for r in maps:  # bucket 1 holds positions 1 to 32768
-        start = (r["b"] - 1) * 32768
-        bits[start : start + 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-    return bits
-
-
 def features(samples: bytes) -> str:
     x = np.frombuffer(samples, np.uint8)
     mid = x.astype(np.int64) - 128
@@ -154,10 +136,11 @@ def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
     recipes = stored(rows.mapInArrow(_recipes, "doc_id long, n_bytes long, media binary, hi array<long>, lo array<long>"), "recipes")
     each = recipes.select(F.explode(F.arrays_zip("hi", "lo")).alias("c")).select("c.hi", "c.lo")
     repeated = each.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo")
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bloom(repeated)))
+    repeated = stored(repeated, "repeated")
+    shared = df.sparkSession.sparkContext.broadcast(Filter(repeated, "lo", repeated.count()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        repeated = shared.value
         pack = zstandard.ZstdCompressor(level=3).compress
         kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         names = ["kind", "media", "hi", "lo", "his", "los", "sizes", "data"]
@@ -170,7 +153,7 @@ def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
                 media = to_wav(payload(text)[0])
                 name, chunks = hashlib.sha256(media).digest(), chunked(media)
                 his, los = [c[0] for c in chunks], [c[1] for c in chunks]
-                again = np.logical_and.reduce([bits[p] for p in _positions(np.array(his), np.array(los))])
+                again = repeated.has(np.array(los).view(np.uint64))
                 if not again.any():
                     out.append((0, name, None, None, None, None, None, media))
                     continue
@@ -216,7 +199,7 @@ def read_back(whole: DataFrame, packs: DataFrame, chunks: DataFrame) -> DataFram
             yield _read_back(out)
 
     wanted = packs.select("media", F.posexplode(F.arrays_zip("his", "los", "sizes")).alias("at", "c")).where("c.sizes < 0").select("media", "at", F.col("c.his").alias("hi"), F.col("c.los").alias("lo"))
-    lent = wanted.join(chunks, ["hi", "lo"]).groupBy("media").agg(F.collect_list(F.struct("at", "data")).alias("lent"))  # of one file
+    lent = hot_join(wanted, chunks, ["hi", "lo"], 1000).groupBy("media").agg(F.collect_list(F.struct("at", "data")).alias("lent"))  # of one file
     parts = packs.join(lent, "media").select("media", "his", "los", "sizes", "data", "lent")
     return whole.mapInArrow(from_whole, FEATURES).unionByName(parts.mapInArrow(from_parts, FEATURES))
 
@@ -224,5 +207,5 @@ def read_back(whole: DataFrame, packs: DataFrame, chunks: DataFrame) -> DataFram
 def report(df: DataFrame) -> DataFrame:
     recipes, whole, packs, chunks = store(df)
     found = stored(read_back(whole, packs, chunks).dropDuplicates(["media"]), "features")
-    rows = recipes.select("doc_id", "n_bytes", F.col("media").alias("m"), F.size("hi").alias("n_chunks"))
-    return rows.join(found, rows["m"] == found["media"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+    rows = recipes.select("doc_id", "n_bytes", "media", F.size("hi").alias("n_chunks"))
+    return hot_join(rows, found, ["media"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")

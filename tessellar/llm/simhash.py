@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import stored
+from tessellar.llm.common import hot_join, stored
 from tessellar.llm.graph import components, local_components
 from tessellar.llm.jaccard import dedupe
 from tessellar.llm.words import shingle_hashes
@@ -196,7 +196,7 @@ def placed(prints: DataFrame, least_shards: int = LEAST_SHARDS) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 3-word shingles, links at 2 or fewer of 64 bits."""
     prints = stored(fingerprints(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
-    out = prints.join(placed(prints), "f")
+    out = hot_join(prints, stored(placed(prints), "components"), ["f"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
