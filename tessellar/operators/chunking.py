@@ -9,68 +9,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.functions.text import lines, strip
+from tessellar.functions.text import bound, lines, strip
 
 BUDGET = 600
 HEADING = r"^(#{1,6})\s+\S"
-PIECE = "array<struct<start:int,end:int,content:string>>"
-CHUNK = "array<struct<kind:string,start:int,end:int,content:string>>"
+RANGES = "array<struct<start:int,end:int,size:int>>"
 
 
-def _piece(start: Column, end: Column, content: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), content.alias("content"))
+def _greedy(items: Column, size_of, joined, starts_anew, budget: int) -> Column:
+    """Ranges (start, end, size) of consecutive items, each as long as joined(range so far, item) stays in the budget.
 
-
-def paragraph_pieces(text_lines: Column, budget: int = BUDGET) -> Column:
-    """Runs of non-blank lines, cut before the line with which they would exceed the budget (stripped). A longer line stays whole."""
-    numbered = F.transform(text_lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x")))
-    # open: what the current piece holds; start 0: no piece is open.
-    empty = F.struct(F.array().cast(PIECE).alias("done"), F.lit("").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    Only numbers are kept on the way: texts are put together once, from the ranges.
+    """
+    fields = ("start", "end", "size", "lead", "trail")
+    empty = F.struct(F.array().cast(RANGES).alias("done"), *(F.lit(0).alias(f) for f in fields))
 
     def closed(a: Column) -> Column:
-        return F.when(a["start"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(_piece(a["start"], a["end"], strip(a["open"])))))
+        own = F.struct(a["start"].alias("start"), a["end"].alias("end"), (a["size"] - a["lead"] - a["trail"]).alias("size"))
+        return F.when(a["start"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(own)))
 
-    def state(done: Column, open_: Column, start: Column, end: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    def opened(done: Column, x: Column, start: Column, size: Column, lead: Column) -> Column:
+        return F.struct(done.alias("done"), *(c.cast("int").alias(f) for c, f in zip((start, x["n"], size, lead, x["trail"]), fields, strict=True)))
 
-    def step(a: Column, line: Column) -> Column:
-        joined = F.concat(a["open"], F.lit("\n"), line["x"])
-        # Stripping can only shorten: most lines are decided without it.
-        long = (F.length(joined) > budget) & (F.length(strip(joined)) > budget)
+    def step(a: Column, x: Column) -> Column:
+        fresh = lambda done: opened(done, x, x["n"], size_of(x), x["lead"])
+        size = joined(a, x)
         return (
-            F.when(~line["x"].rlike(r"(?U)\S"), state(closed(a), F.lit(""), F.lit(0), F.lit(0)))
-            .when(a["start"] == 0, state(a["done"], line["x"], line["n"], line["n"]))
-            .when(long, state(closed(a), line["x"], line["n"], line["n"]))
-            .otherwise(state(a["done"], joined, a["start"], line["n"]))
+            F.when(starts_anew(x), F.struct(closed(a).alias("done"), *(F.lit(0).alias(f) for f in fields)))
+            .when(a["start"] == 0, fresh(a["done"]))
+            .when(size - a["lead"] - x["trail"] > budget, fresh(closed(a)))
+            .otherwise(opened(a["done"], x, a["start"], size, a["lead"]))
         )
 
-    return F.aggregate(numbered, empty, step, closed)
+    return F.aggregate(items, empty, step, closed)
+
+
+def paragraph_ranges(text_lines: Column, budget: int = BUDGET) -> Column:
+    """Runs of non-blank lines, cut before the line with which they would exceed the budget (stripped). A longer line stays whole."""
+
+    def measured(x: Column, i: Column) -> Column:
+        lead, own = F.length(F.regexp_extract(x, r"(?U)^\s*", 0)), F.length(strip(x))
+        return F.struct((i + 1).alias("n"), F.length(x).alias("size"), lead.alias("lead"), (F.length(x) - lead - own).alias("trail"), (own == 0).alias("blank"))
+
+    return _greedy(F.transform(text_lines, measured), lambda x: x["size"], lambda a, x: a["size"] + 1 + x["size"], lambda x: x["blank"], budget)
 
 
 def text_chunks(text_lines: Column, budget: int = BUDGET) -> Column:
-    """Paragraph pieces joined by blank lines up to the budget; a text without any is one chunk over all its lines."""
-    empty = F.struct(F.array().cast(CHUNK).alias("done"), F.lit("").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    """Paragraph ranges joined by blank lines up to the budget; a text without any is one chunk over all its lines."""
 
     def chunk(start: Column, end: Column, content: Column) -> Column:
         return F.struct(F.lit("text").alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), content.alias("content"))
 
-    def closed(a: Column) -> Column:
-        return F.when(a["start"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(chunk(a["start"], a["end"], a["open"]))))
+    def packed(x: Column) -> Column:
+        lines_, pieces = x["lines"], x["pieces"]
+        numbered = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("n"), p["size"].alias("size"), F.lit(0).alias("lead"), F.lit(0).alias("trail")))
+        groups = _greedy(numbered, lambda p: p["size"], lambda a, p: a["size"] + 2 + p["size"], lambda p: F.lit(False), budget)
 
-    def state(done: Column, open_: Column, start: Column, end: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), start.alias("start"), end.alias("end"))
+        def whole(g: Column) -> Column:
+            own = F.transform(F.slice(pieces, g["start"], g["end"] - g["start"] + 1), lambda p: strip(line_range(lines_, p["start"], p["end"])))
+            return chunk(F.element_at(pieces, g["start"])["start"], F.element_at(pieces, g["end"])["end"], F.array_join(own, "\n\n"))
 
-    def step(a: Column, p: Column) -> Column:
-        joined = F.concat(a["open"], F.lit("\n\n"), p["content"])
-        return (
-            F.when(a["start"] == 0, state(a["done"], p["content"], p["start"], p["end"]))
-            .when(F.length(joined) > budget, state(closed(a), p["content"], p["start"], p["end"]))
-            .otherwise(state(a["done"], joined, a["start"], p["end"]))
-        )
+        plain = F.array(chunk(F.lit(1), F.greatest(F.lit(1), F.size(lines_)), strip(F.array_join(lines_, "\n"))))
+        return F.when(F.size(pieces) > 0, F.transform(groups, whole)).otherwise(plain)
 
-    packed = F.aggregate(paragraph_pieces(text_lines, budget), empty, step, closed)
-    whole = F.array(chunk(F.lit(1), F.greatest(F.lit(1), F.size(text_lines)), strip(F.array_join(text_lines, "\n"))))
-    return F.when(F.size(packed) > 0, packed).otherwise(whole)
+    return bound(bound(text_lines, lambda t: F.struct(t.alias("lines"), paragraph_ranges(t, budget).alias("pieces"))), packed)
 
 
 def line_range(text_lines: Column, start: Column, end: Column) -> Column:

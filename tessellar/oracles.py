@@ -162,8 +162,7 @@ def sql(texts, intents, signatures, code_weights, identifier_weights, declaratio
             WHERE doc_id <> 5 AND regexp_matches(x, '(^|[^\pL\pN_$])worthless($|[^\pL\pN_$])')""",
         "directory_tree": f"SELECT DISTINCT array_to_string(parts[1:n], '/') AS directory FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM (SELECT string_split(relative_path, '/') AS parts FROM {path}))",
         "files_by_directory": f"SELECT directory, count(*) AS n, string_agg(relative_path, ',' ORDER BY relative_path) AS paths FROM (SELECT CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '.' END AS directory, relative_path FROM {path}) GROUP BY directory",
-        "language_symbols": f"""WITH {files}, s AS (SELECT translate(p_brand, '# ', '__') || '/all' || ext AS relative_path, ext, {of({x: k for x, k, _, _ in declarations})} AS kind, 2 + (i - 1) * {of(height)} AS a, 2 + (i - 1) * {of(height)} + {of(last)} AS e, {signature} AS sig FROM p CROSS JOIN d
-              UNION ALL SELECT translate(p_brand, '# ', '__') || '/all.rs', '.rs', 'function', 2 + (i - 1) * {height['.rs']} + 1, 2 + (i - 1) * {height['.rs']} + 1, 'fn go(&self);' FROM p)
+        "language_symbols": f"""WITH {files}, s AS (SELECT translate(p_brand, '# ', '__') || '/all' || ext AS relative_path, ext, {of({x: k for x, k, _, _ in declarations})} AS kind, 2 + (i - 1) * {of(height)} AS a, 2 + (i - 1) * {of(height)} + {of(last)} AS e, {signature} AS sig FROM p CROSS JOIN d)
             SELECT relative_path, {of(languages)} AS language, 1 AS n_headers, kind, count(*) AS n, sum(a)::BIGINT AS starts, sum(e)::BIGINT AS ends, min(sig) AS first_signature FROM s GROUP BY ALL""",
         "file_manifest": f"WITH {files} SELECT path AS relative_path, octet_length(encode(content)) AS size_bytes, sha256(content) AS content_hash FROM f",
         "identifier_fields": f"""WITH {files}, s AS (SELECT translate(p_brand, '# ', '__') || '/all.py' AS path, p_brand AS header, name, 'def ' || name || '(x):' AS sig, (2 * i)::INTEGER AS a, (2 * i + 1)::INTEGER AS e, i - 1 AS ordinal FROM p),
