@@ -61,14 +61,14 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As stored(), in as many buckets of key as there are shuffle partitions: later joins on key leave these rows where they are.
+def bucketed(df: DataFrame, name: str, key: str, least: int = 1) -> DataFrame:
+    """As stored(), in buckets of key, as many as there are shuffle partitions or least: later joins on key leave these rows where they are.
 
     Spark keeps buckets only for tables of its catalogue; the entry goes at once, the files stay as long as stored() ones.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.option("compression", "zstd").option("path", _new_folder(spark, name)).bucketBy(n, key).saveAsTable(table)
     out = spark.table(table)
     out.inputFiles()  # the relation is resolved with its buckets before the entry goes

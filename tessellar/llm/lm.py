@@ -160,7 +160,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     """doc_id, n_words, score (mean log of stupid-backoff scores; null without words) for each row of df."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     batches_ = rows.mapInArrow(_tokenised, "batch long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long")
-    table = bucketed(batches_, "lm_batches", "batch")
+    table = bucketed(batches_, "lm_batches", "batch", rows.rdd.getNumPartitions())  # buckets grow in number, not in size
     total = table.agg(F.sum("n")).first()[0] or 0
     partitions = max(32, -(-total // PARTITION))
     blocks = table.select("batch", "sizes", "vocabulary", "tokens").mapInArrow(_blocks(partitions), "part long, batch long, gram int, hashes binary, times binary")
