@@ -9,19 +9,25 @@ k is EDITS of the item's length, less where the bound would not be positive; ite
 must occur as they are.
 
 Benchmarks of up to BLOCK characters are broadcast at once; larger ones go block by block, each
-against all documents. Documents are scanned whole and independently: no shuffle.
-Null or empty texts and items match nothing; repeated rows are reported as often as they occur.
+against all documents: one block's index is on the driver at a time, and its findings are written before
+the next is made. Documents are scanned whole and independently: no shuffle.
+Null or empty texts and items match nothing; repeated rows are reported as often as they occur; other
+columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellar.llm.common import discard, stored
+
 Q = 8
 EDITS = 0.1
 BLOCK = 16_000_000
@@ -171,18 +177,18 @@ class Index:
         return [(i, e, int(where[s]), int(where[t - 1]) + 1) for i, (e, s, t) in sorted(best.items()) if t > s]
 
 
-def indexes(bench: DataFrame, edits: float, block: int) -> list:
-    """A broadcast index for each block of at most about so many characters of the benchmark."""
+def blocks(bench: DataFrame, block: int) -> list[DataFrame]:
+    """The items in blocks of at most about so many characters."""
     b = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     chars = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block)
-    sc = bench.sparkSession.sparkContext
-    out = []
-    for k in range(blocks):
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        out.append(sc.broadcast(Index(items, edits)))
-    return out
+    n = -(-chars // block)
+    return [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def shared_index(items: DataFrame, edits: float) -> Broadcast:
+    """The index of one block, which bounds what the driver collects."""
+    rows = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return items.sparkSession.sparkContext.broadcast(Index(rows, edits))
 
 
 SCHEMA = "doc_id long, item_id long, edits int, start_at int, end_at int"
@@ -191,26 +197,39 @@ SCHEMA = "doc_id long, item_id long, edits int, start_at int, end_at int"
 def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """A row for each document and item found in it: edits of the best place, and where that is (code points, end exclusive)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for shared in indexes(bench, edits, block):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def found(items: DataFrame) -> tuple[DataFrame, Broadcast]:
+        shared = shared_index(items, edits)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                found = [(d, index.ids[i], e, s, t) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for i, e, s, t in index.search(x)]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 5
+                hits = [(d, index.ids[i], e, s, t) for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x for i, e, s, t in index.search(x)]
+                cols = list(zip(*hits, strict=True)) if hits else [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start_at", "end_at"])
 
-        found = rows.mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+        return rows.mapInArrow(run, SCHEMA), shared
+
+    every = blocks(bench, block)
+    if not every:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    if len(every) == 1:
+        return found(every[0])[0]
+    out = []
+    for items in every:
+        hits, shared = found(items)
+        out.append(stored(hits, "matches"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """docs without the rows in which an item is found."""
     at = docs.columns.index(text)
-    for shared in indexes(bench, edits, block):
+    every, last = blocks(bench, block), None
+    for items in every:
+        shared = shared_index(items, edits)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -218,4 +237,10 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", edits: float =
                 yield batch.filter(pa.array([not (x and index.search(x)) for x in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if len(every) > 1:
+            docs = stored(docs, "cleaned")
+            shared.destroy()
+            if last is not None:
+                discard(last)
+            last = docs
     return docs

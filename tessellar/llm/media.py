@@ -207,5 +207,5 @@ def read_back(whole: DataFrame, packs: DataFrame, chunks: DataFrame) -> DataFram
 def report(df: DataFrame) -> DataFrame:
     recipes, whole, packs, chunks = store(df)
     found = stored(read_back(whole, packs, chunks).dropDuplicates(["media"]), "features")
-    rows = recipes.select("doc_id", "n_bytes", "media", F.size("hi").alias("n_chunks"))
-    return hot_join(rows, found, ["media"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+    rows = recipes.select("doc_id", "n_bytes", "media")
+    return hot_join(rows, found, ["media"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

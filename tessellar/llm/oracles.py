@@ -28,6 +28,24 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, round(s.score, 6) AS score FROM d
 """
 
 
+#: Payloads and media files as hexadecimal digits; CRC-32 by its table of 256 remainders; features from one row for each byte.
+MEDIA_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT *, len(h) // 2 AS n_bytes, greatest(192, (len(h) // 2 + 191) // 192 * 192) AS n FROM t),
+q AS (SELECT *, h || repeat('20', n - n_bytes) AS x,
+        list_transform([36 + n, n], lambda v: printf('%02X%02X%02X%02X', v & 255, (v >> 8) & 255, (v >> 16) & 255, (v >> 24) & 255)) AS le FROM p),
+m AS (SELECT *, '52494646' || le[1] || '57415645666D74201000000001000100401F0000401F00000100080064617461' || le[2] || x AS w FROM q),
+c AS (SELECT list_transform(range(256), lambda v: list_reduce(list_concat([v], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+b AS (SELECT r, i, ('0x' || d)::INTEGER AS v FROM (SELECT r, unnest(regexp_extract_all(x, '..')) AS d, unnest(range(n)) AS i FROM q)),
+l AS (SELECT *, lag(v) OVER (PARTITION BY r ORDER BY i) AS u FROM b),
+f AS (SELECT r, printf('mean=%.4f;rms=%.4f;min=%d;max=%d;crossings=%d', avg(v), sqrt(avg((v - 128) * (v - 128))), min(v), max(v), count_if((u < 128) <> (v < 128))::INTEGER) AS s FROM l GROUP BY r)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(x)) AS payload_sha256,
+  xor(list_reduce(list_concat([4294967295], list_transform(range(16), lambda k: ('0x' || substr(x, 2 * n - 31 + 2 * k, 2))::BIGINT)), lambda a, v: xor(a >> 8, tab[(xor(a, v) & 255) + 1])), 4294967295) AS tail_crc32,
+  n + 44 AS media_bytes, sha256(unhex(w)) AS media_sha256, 'n=' || n || ';' || s AS feature
+FROM m JOIN f USING (r) CROSS JOIN c
+"""
+
+
 #: Windows by the digest of their 400 hexadecimal digits; runs of covered bytes as islands of window starts.
 REPEATS_SQL = """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -94,4 +112,4 @@ FROM t LEFT JOIN m USING (r) GROUP BY r
 
 
 def sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
+    return {"op1_media": MEDIA_SQL, "op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}

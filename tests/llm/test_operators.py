@@ -537,3 +537,51 @@ def test_running_sums(spark):
     rows_ = [([r.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 8, 9, 31, 64, 65, 1000)]
     got = spark.createDataFrame(rows_, "a array<int>").select("a", common.running(F.col("a"), lambda a, b: a + b).alias("s")).collect()
     assert all(x["s"] == [sum(x["a"][: i + 1]) for i in range(len(x["a"]))] for x in got)
+
+
+def plain_toxicity(m, text):
+    """The classifier's score word by word, from its own weights."""
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode())
+    rows_ = [next(toxicity.word_rows([w.decode("utf-8", "replace")])) for w in words]
+    x = [sum(t[int(r[0, k])].astype(float) for k, t in enumerate(m.tables)) for r in rows_] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    best = np.concatenate([np.max([sum(x[i + j] @ f[j] for j in range(w)) for i in range(len(x) - w + 1)], axis=0) for w, f in zip(toxicity.WIDTHS, m.filters, strict=True)])
+    return 1 / (1 + math.exp(-float(np.maximum(best + m.bias, 0) @ m.out + m.shift)))
+
+
+def test_toxicity_scores_equal_the_plain_network(spark):
+    r = random.Random(14)
+    words = [next(toxicity.word_rows([prose(r, r.randint(5, 40)) + (" vile scum" if i % 2 else "")])) for i in range(200)]
+    m = toxicity.train(words, np.array([i % 2 for i in range(200)]), ["en"] * 200, 0.3)
+    texts = [prose(r, n) for n in (1, 2, 3, 50)] + ["", None, "vile", "a vile\nscum of é\U0001f600 words", "VILE " * 40]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else None, "own") for i, t in enumerate(texts)], "doc_id long, text string, lang string, __score string")
+    got = toxicity.apply(df, m, "s", "t").collect()
+    assert all(math.isclose(g["s"], plain_toxicity(m, g["text"]), abs_tol=1e-4) for g in got)
+    assert all(g["__score"] == "own" and g["t"] == (m.thresholds.get(g["lang"], m.threshold)) for g in got) and m.threshold == 0.3
+
+
+def test_toxicity_held_out(spark):
+    """Recall and precision on the held-out rows of the labels."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.report(d, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hit = sum(g["predicted"] and g["toxic"] for g in got)
+    assert hit > 0.9 * sum(g["toxic"] for g in got) and hit > 0.85 * sum(g["predicted"] for g in got)
+
+
+def test_columns_of_any_name(spark):
+    """Columns that clash with names the operators use inside come out as they went in."""
+    r = random.Random(5)
+    names = ("__score", "__threshold", "__row", "__d0", "__d1", "__bands", "__spans", "__maybe", "__Score_", "words", "toxic", "nid", "key", "u", "v", "secrets")
+    rows_ = [(i, prose(r, 40) + (" password = abcd1234efgh" if i % 3 == 0 else "") + (" vile" if i % 4 == 0 else ""), "en", "s", *(f"{n}{i}" for n in names)) for i in range(60)]
+    rows_ += [(100, rows_[1][1], *rows_[1][2:])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = df.selectExpr("doc_id", "int(doc_id % 4 = 0) as toxic")
+    bench = spark.createDataFrame([(1, rows_[7][1])], "item_id long, text string")
+    for out in (toxicity.reject(df, labels), simhash.dedupe(df), decontam.clean(df, bench), secrets.redact(df)):
+        assert out.columns == df.columns
+        own = {x[0]: x[4:] for x in rows_}
+        got = out.collect()
+        assert len(got) > 30 and all(tuple(g)[4:] == own[g["doc_id"]] for g in got)
+    for report in (media.report, suffix.remove, mixing.report, lm.report, simhash.report, licenses.report, pii.report, secrets.report):
+        report(df).collect()
+    assert {g["doc_id"] for g in simhash.dedupe(df).collect()} == set(range(60))
