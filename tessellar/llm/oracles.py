@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessellar.llm import licenses, secrets
+from tessellar.llm import licenses, pii, secrets
 
 BACKOFF_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
@@ -62,6 +62,85 @@ FROM t LEFT JOIN z ON t.r = z.r
 """
 
 
+def pii_sql() -> str:
+    """Matches with what stands before them (of kinds that need a boundary), validators, and words near each span."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    doubled = "list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(g)[i]::INTEGER WHEN reverse(g)[i]::INTEGER > 4 THEN 2 * reverse(g)[i]::INTEGER - 9 ELSE 2 * reverse(g)[i]::INTEGER END)"
+    luhn = f"list_transform([{digits}], lambda g: length(g) BETWEEN 14 AND 19 AND list_sum({doubled}) % 10 = 0)[1]"
+    code = "list_transform(string_split(substr(g, 5) || substr(g, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE c::INTEGER END)"
+    mod97 = f"list_transform([replace(v, ' ', '')], lambda g: length(g) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], {code}), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1)[1]"
+    parts = "list_transform(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false))"
+    kinds = (
+        ("email", r"()([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "true"),
+        ("ip", r"()([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)", f"list_bool_and({parts})"),
+        ("card", r"()([0-9](?:[\x20-]?[0-9])+)", luhn),
+        ("phone", r"()(\+[0-9][\x20().0-9-]+[0-9])", f"length({digits}) BETWEEN 10 AND 15"),
+        ("iban", r"(^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?:[^A-Za-z0-9]|$)", mod97),
+        ("ssn", r"(^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})", "NOT regexp_matches(substr(text, e + 1, 1), '[0-9-]') AND v[1:3] NOT IN ('000', '666') AND v[1:3] < '900' AND v[5:6] <> '00' AND v[8:11] <> '0000'"),
+    )
+    found = " UNION ALL ".join(
+        f"""SELECT r, text, {rank} AS rank, s, e FROM (SELECT *, s + length(v) AS e FROM (
+          SELECT r, text, v, (list_sum(gaps[1 : i]) + coalesce(list_sum(lens[1 : i - 1]), 0) + length(b))::BIGINT AS s FROM (
+            SELECT r, text, unnest(range(1, len(vs) + 1)) AS i, unnest(vs) AS v, unnest(bs) AS b, gaps, lens FROM (
+              SELECT r, text, regexp_extract_all(text, {quote(rx)}, 1) AS bs, regexp_extract_all(text, {quote(rx)}, 2) AS vs,
+                list_transform(string_split_regex(text, {quote(rx)}), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, {quote(rx)}), lambda x: length(x)) AS lens
+              FROM t WHERE regexp_matches(text, {quote(rx)}))))) WHERE {valid}"""
+        for rank, (_, rx, valid) in enumerate(kinds)
+    )
+    each = ", ".join(f"({i}, '{k}', {pii.PRIOR[k]}, [{', '.join(map(quote, pii.NEAR[k]))}])" for i, k in enumerate(pii.KINDS))
+    near = r"list_transform(regexp_extract_all(substr(text, greatest(1, s - 47), least(s, 48)) || ' ' || substr(text, e + 1, 48), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)?'), lambda w: lower(w))"
+    joined = lambda cond: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE {cond}), '')"
+    count = lambda rank: f"count(*) FILTER (WHERE rank = {rank})"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS ({found}), k(rank, kind, prior, words) AS (VALUES {each}),
+n AS (SELECT r, rank, kind, s, e, least(1.0, prior + CASE WHEN list_has_any({near}, words) THEN {pii.BOOST} ELSE 0 END) AS score FROM m JOIN k USING (rank)),
+f AS (SELECT * FROM n WHERE rank < {pii.BASE} OR score >= {pii.MIN_SCORE})
+SELECT any_value(doc_id) AS doc_id, {count(0)} AS n_email, {count(1)} AS n_ip, {count(2)} AS n_card, {count(3)} AS n_phone, sha256({joined(f'rank < {pii.BASE}')}) AS base_sha256, {joined('rank IS NOT NULL')} AS spans,
+  coalesce(string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY s, rank) FILTER (WHERE rank IS NOT NULL), '') AS scores
+FROM t LEFT JOIN f USING (r) GROUP BY r
+"""
+
+
+def simhash_sql() -> str:
+    """XXH64 of every shingle in arithmetic modulo 2**64, bit majorities, and components as what is reachable by links of two bits or fewer."""
+    p1, p2, p3, p4, p5 = (f"{p}::UBIGINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    fold = lambda x: f"(({x}) % 18446744073709551616)::UBIGINT"
+    add = lambda *xs: fold(" + ".join(f"({x})::UHUGEINT" for x in xs))
+    mul = lambda a, b: fold(f"({a})::UHUGEINT * ({b})::UHUGEINT")
+    # Steps that use a value twice take it as the one element of a list.
+    rot = lambda x, k: f"list_transform([{x}], lambda z: {fold(f'z::UHUGEINT * {1 << k}')} | (z >> {64 - k}))[1]"
+    down = lambda x, k: f"list_transform([{x}], lambda z: xor(z, z >> {k}))[1]"
+    lane = lambda x, at, size: "('0x' || " + " || ".join(f"substr({x}, {at} + {2 * k}, 2)" for k in reversed(range(size))) + ")::UBIGINT"
+    turn = lambda v, x: mul(rot(add(v, mul(x, p2)), 31), p1)
+    stripes = f"list_transform(range(n // 32), lambda i: [{', '.join(lane('h', f'64 * i + {16 * k + 1}', 8) for k in range(4))}])"
+    start = f"[{add(42, p1, p2)}, {add(42, p2)}, 42::UBIGINT, {fold(f'18446744073709551616::UHUGEINT + 42 - {p1}')}]"
+    four = f"list_reduce(list_concat([{start}], {stripes}), lambda a, x: [{', '.join(turn(f'a[{k}]', f'x[{k}]') for k in (1, 2, 3, 4))}])"
+    merged = add(*(rot(f"v[{k}]", r) for k, r in zip((1, 2, 3, 4), (1, 7, 12, 18), strict=True)))
+    for k in (1, 2, 3, 4):
+        merged = add(mul(f"xor({merged}, {turn('0', f'v[{k}]')})", p1), p4)
+    eights = f"list_reduce(list_concat([h0], list_transform(range(n % 32 // 8), lambda i: {lane('h', 'n // 32 * 64 + 16 * i + 1', 8)})), lambda a, x: {add(mul(rot(f'xor(a, {turn("0", "x")})', 27), p1), p4)})"
+    fours = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rot(f'xor(h1, {mul(lane("h", "n // 8 * 16 + 1", 4), p1)})', 23), p2), p3)} ELSE h1 END"
+    ones = f"list_reduce(list_concat([h2], list_transform(range(n % 4), lambda i: {lane('h', 'n // 4 * 8 + 2 * i + 1', 1)})), lambda a, x: {mul(rot(f'xor(a, {mul("x", p5)})', 11), p1)})"
+    last = down(mul(down(mul(down("h3", 33), p2), 29), p3), 32)
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d WHERE len(w) > 0),
+t AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM s)),
+a AS (SELECT x, h, n, CASE WHEN n >= 32 THEN {four} END AS v FROM (SELECT x, h, len(h) // 2 AS n FROM t)),
+b AS (SELECT x, h, n, {add(f"CASE WHEN n >= 32 THEN {merged} ELSE {add(42, p5)} END", "n")} AS h0 FROM a),
+c AS (SELECT x, h, n, {eights} AS h1 FROM b), e AS (SELECT x, h, n, {fours} AS h2 FROM c), f AS (SELECT x, {ones} AS h3 FROM e), g AS (SELECT x, {last} AS y FROM f),
+m AS (SELECT r, {' + '.join(f"CASE WHEN 2 * sum((y >> {k}) & 1) > count(*) THEN {1 << k}::HUGEINT ELSE 0 END" for k in range(64))} AS p FROM s JOIN g USING (x) GROUP BY r),
+o AS (SELECT d.r, d.doc_id, coalesce(m.p, 0)::UBIGINT AS p FROM d LEFT JOIN m ON d.r = m.r),
+k AS (SELECT p, min(doc_id) AS least FROM o GROUP BY p),
+l AS (SELECT i.p AS p, j.p AS q FROM k i JOIN k j ON bit_count((xor(i.p, j.p) >> 32)::BIGINT) + bit_count((xor(i.p, j.p) & 4294967295)::BIGINT) <= 2),
+u AS (SELECT p, p AS q FROM k UNION SELECT u.p, l.q FROM u JOIN l ON u.q = l.p),
+z AS (SELECT u.p, min(k.least) AS component_id FROM u JOIN k ON u.q = k.p GROUP BY u.p)
+SELECT doc_id, lpad(lower(to_hex(p)), 16, '0') AS fingerprint, component_id FROM o JOIN z USING (p)
+"""
+
+
 def licenses_sql(templates=licenses.TEMPLATES, dice: float = licenses.DICE) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     row = lambda i, name, text, b: f"({i}, {quote(name)}, {len(licenses.normalise(text).split(' ')) - 1}, [{', '.join(map(quote, b))}])"
@@ -112,4 +191,4 @@ FROM t LEFT JOIN m USING (r) GROUP BY r
 
 
 def sql() -> dict[str, str]:
-    return {"op1_media": MEDIA_SQL, "op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
+    return {"op1_media": MEDIA_SQL, "op6_simhash": simhash_sql(), "op9_pii": pii_sql(), "op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
