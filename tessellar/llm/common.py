@@ -28,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_FOLDERS: list[str] = []
+
+
 def _new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _FOLDERS.append(path)
     return path
 
 
@@ -53,12 +57,25 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, code
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _FOLDERS.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote; only for tables that no result still reads."""
     for t in tables:
-        spark, path = t.sparkSession, t._stored_at
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(t.sparkSession, t._stored_at)
+
+
+def written(step, name: str) -> DataFrame:
+    """step()'s table, stored; everything that was stored on the way is deleted once that is written."""
+    before = set(_FOLDERS)
+    out = stored(step(), name)
+    for path in [p for p in _FOLDERS if p not in before and p != out._stored_at]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def bucketed(df: DataFrame, name: str, key: str, least: int = 1) -> DataFrame:

@@ -585,3 +585,30 @@ def test_columns_of_any_name(spark):
     for report in (media.report, suffix.remove, mixing.report, lm.report, simhash.report, licenses.report, pii.report, secrets.report):
         report(df).collect()
     assert {g["doc_id"] for g in simhash.dedupe(df).collect()} == set(range(60))
+
+
+def test_written_leaves_one_folder(spark):
+    before = set(common._FOLDERS)
+    rows_ = common.written(lambda: common.stored(common.stored(spark.range(9).toDF("id"), "a").where("id > 2"), "b"), "c")
+    assert rows_.count() == 6 and [p for p in common._FOLDERS if p not in before] == [rows_._stored_at]
+    common.discard(rows_)
+    assert set(common._FOLDERS) == before
+
+
+def test_filters_pass_all_keys(spark):
+    r = np.random.default_rng(3)
+    keys = r.integers(0, 1 << 63, 20_000, dtype=np.int64)
+    df = common.stored(spark.createDataFrame([(int(k),) for k in keys[:5000]], "h long"), "keys")
+    held = common.Filter(df, "h", 5000).has(keys.view(np.uint64))
+    assert held[:5000].all() and held[5000:].mean() < 0.02
+    every = common.stored(spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "h long, i int"), "every")
+    got = common.in_filter(every, "h", df, 5000, "maybe").collect()
+    assert all(g["maybe"] for g in got if g["i"] < 5000) and sum(g["maybe"] for g in got if g["i"] >= 5000) < 300
+    assert {g["i"] for g in common.without(every, "h", df).collect()} == set(range(5000, 20_000))
+    assert common.without(every, "h", common.stored(df.limit(0), "none")).count() == 20_000
+    small, most = common.MOST_BITS, common.LEAST_BITS
+    try:
+        common.MOST_BITS = common.LEAST_BITS = 15  # far too small: all pass, nothing is lost
+        assert {g["i"] for g in common.without(every, "h", df).collect()} == set(range(5000, 20_000))
+    finally:
+        common.MOST_BITS, common.LEAST_BITS = small, most
