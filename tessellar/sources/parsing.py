@@ -154,9 +154,10 @@ def _ecma(code: str, lang: str) -> Iterator[Symbol]:
                 if body:
                     yield lines.symbol(kind, m[1], m.start(), end)
     if lang == "typescript":
-        for m in re.finditer(rf"{head}type\s+({NAME})\s*(?:<[^=;]*>)?\s*=", clean):
-            if ahead.search(clean[max(0, m.start() - 60) : m.start()]):
-                end = _expression_end(clean, m.end(), False)
+        for m in re.finditer(rf"{head}type\s+({NAME})\s*(?=[<=])", clean):
+            at = _parameters_end(clean, m.end())
+            if clean[at : at + 1] == "=" and ahead.search(clean[max(0, m.start() - 60) : m.start()]):
+                end = _expression_end(clean, at + 1, False)
                 yield lines.symbol("type", m[1], m.start(), end + (clean[end : end + 1] == ";"))
     for m in re.finditer(rf"{head}(?:const|let)\s+(?!enum\b)", clean):
         at = m.end()
@@ -177,6 +178,24 @@ def _ecma(code: str, lang: str) -> Iterator[Symbol]:
             at = end + 1
 
 
+def _parameters_end(clean: str, at: int) -> int:
+    """The position after type parameters in angle brackets and blanks that begin at at; at itself where there are none."""
+    depth, k = 0, at
+    while k < len(clean):
+        c = clean[k]
+        if c == "<":
+            depth += 1
+        elif c == ">" and clean[k - 1] != "=":
+            depth -= 1
+        elif c in "([{":
+            k = _closing(clean, k)
+            continue
+        elif not depth and not c.isspace():
+            return k
+        k += 1
+    return k
+
+
 def _go(code: str) -> Iterator[Symbol]:
     clean, lines = blanked(code, "go"), _Lines(code)
     for m in re.finditer(rf"(?m)^[ \t]*(func)\s+(?:\([^)]*\)\s*)?({NAME})\s*(?=[(\[])", clean):
@@ -184,10 +203,13 @@ def _go(code: str) -> Iterator[Symbol]:
         yield lines.symbol("function", m[2], m.start(1), end)
     spec = re.compile(rf"\s*({NAME})(?:\[[^\]]*\])?\s+(?!=)")
 
-    def one(at: int) -> tuple[Symbol, int] | None:
+    alias = re.compile(rf"\s*{NAME}(?:\[[^\]]*\])?\s+=")
+
+    def one(at: int) -> tuple[Symbol | None, int] | None:
+        """The declaration that begins at at (none for another name of a type) and its end."""
         m = spec.match(clean, at)
         if not m:
-            return None
+            return (None, _expression_end(clean, a.end(), False)) if (a := alias.match(clean, at)) else None
         kind = re.match(r"(struct|interface)\b", clean[m.end() :])
         end = _body_end(clean, m.end(), "\n;")[0] if kind else _expression_end(clean, m.end(), False)
         return lines.symbol(kind[1] if kind else "type", m[1], m.start(1), end), end
@@ -196,8 +218,9 @@ def _go(code: str) -> Iterator[Symbol]:
         at = m.end()
         stop = _closing(clean, m.start(1)) - 1 if m[1] else at + 1
         while at < stop and (got := one(at)):
-            yield got[0]
-            at = got[1]
+            if got[0]:
+                yield got[0]
+            at = got[1] + (clean[got[1] : got[1] + 1] == ";")
 
 
 def _go_func_end(clean: str, at: int) -> tuple[int, bool]:
@@ -217,8 +240,19 @@ def _go_func_end(clean: str, at: int) -> tuple[int, bool]:
     return len(clean), False
 
 
+def _without_macros(clean: str) -> str:
+    """clean with what stands in the brackets of macros made blank: those are tokens, not declarations."""
+    out, at = [], 0
+    for m in re.finditer(r"\b\w+!\s*(?:\w+\s*)?(?=[(\[{])", clean):
+        if m.end() >= at:
+            end = _closing(clean, m.end())
+            out += [clean[at : m.end() + 1], re.sub(r"[^\n]", " ", clean[m.end() + 1 : end - 1]), clean[end - 1 : end]]
+            at = end
+    return "".join(out) + clean[at:]
+
+
 def _rust(code: str) -> Iterator[Symbol]:
-    clean, lines = blanked(code, "rust"), _Lines(code)
+    clean, lines = _without_macros(blanked(code, "rust")), _Lines(code)
     vis = r"(?<![\w'])(?:pub(?:\s*\([^)]*\))?\s+)?"
     items = [
         ("function", vis + rf"(?:(?:const|async|unsafe|extern(?:\s+(?:\"[^\"]*\"|\s+))?)\s+)*fn\s+({NAME})"),
@@ -245,7 +279,9 @@ def _rust(code: str) -> Iterator[Symbol]:
 
 def _kotlin(code: str) -> Iterator[Symbol]:
     clean, lines = blanked(code, "kotlin"), _Lines(code)
-    mods = r"(?<![\w.])((?:(?:public|private|internal|protected|open|abstract|final|sealed|data|enum|annotation|inline|value|inner|suspend|override|operator|infix|tailrec|external|const|lateinit|companion|actual|expect|fun(?=\s+interface))\s+)*)"
+    note = r"@(?:\w+:)?[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s+"
+    mods = rf"(?<![\w.@])((?:{note}|(?:public|private|internal|protected|open|abstract|final|sealed|data|enum|annotation|inline|value|inner|suspend|override|operator|infix|tailrec|external|const|lateinit|companion|actual|expect|fun(?=\s+interface))\s+)*)"
+    around = _around(clean)
     name = r"(`[^`\n]+`|[A-Za-z_]\w*)"
 
     def end_of(at: int) -> int:
@@ -271,11 +307,21 @@ def _kotlin(code: str) -> Iterator[Symbol]:
     for m in re.finditer(mods + r"(class|interface|object)\s+" + name, clean):
         word = m[2] if m[2] == "object" or not m[1] else "class"
         yield lines.symbol(word, m[3].strip("`"), m.start(), end_of(m.end()))
-    for m in re.finditer(r"(?m)^[ \t]*" + mods + r"(?:val|var)\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?" + name, clean):
-        depth = sum((c == "(") - (c == ")") for c in clean[: m.start()])
-        if depth == 0:
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
-            yield lines.symbol("property", m[2].strip("`"), at, end_of(m.end()))
+    for m in re.finditer(mods + r"(?:val|var)\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?" + name, clean):
+        if around[m.start()] != "(":
+            yield lines.symbol("property", m[2].strip("`"), m.start(), end_of(m.end()))
+
+
+def _around(clean: str) -> str:
+    """For each position the innermost bracket that is open there; a blank outside of all."""
+    out, open_ = [], [" "]
+    for c in clean:
+        if c in ")]}" and len(open_) > 1:
+            open_.pop()
+        out.append(open_[-1])
+        if c in "([{":
+            open_.append(c)
+    return "".join(out)
 
 
 def _python(code: str) -> Iterator[Symbol]:

@@ -69,6 +69,21 @@ def test_kotlin_symbols():
     assert ("property", "name") not in pairs(code, "kotlin")
 
 
+def test_nested_generic_and_annotated_symbols():
+    js = "export default class A extends B {\n  m() { const z = 1; }\n}\nconst f = async (x) => { let y = 2; return y; };\nfunction* gen() {}\nfor (const k of xs) {}\nfor (let i = 0; i < 3; i++) {}\nconst C = class D {};\nconst { a, b: [c] } = obj, e = () => { function deep() {} };\n"
+    assert ranges(js, "javascript") == [("class", "A", 1, 3), ("constant", "z", 2, 2), ("constant", "f", 4, 4), ("constant", "y", 4, 4), ("constant", "i", 7, 7), ("constant", "C", 8, 8), ("function", "deep", 9, 9), ("constant", "e", 9, 9), ("constant", "{ a, b: [c] }", 9, 9)]
+    ts = "export type Map2<K, V = string> = { [k in K]: V };\ndeclare function outer(a: string): void;\nfunction over(a: string): void;\nfunction over(a: any) { return a; }\nnamespace N { export interface I<T> { x: T } }\ntype Fn<T extends () => void = () => 1> = T\nlet type = 3\n"
+    assert ranges(ts, "typescript") == [("type", "Map2", 1, 1), ("function", "over", 4, 4), ("interface", "I", 5, 5), ("type", "Fn", 6, 6), ("constant", "type", 7, 7)]
+    go = "package p\ntype (\n\tA struct { X int }\n\tB = string\n\tC interface{ M() }\n\tD[T any] struct { v T }\n\tE func(int) (a int)\n)\nfunc Gen[T any](x T) T { return x }\nfunc (r *Recv[T]) Do(f func(int) error) (a int, err error) {\n\ttype inner int\n\treturn\n}\n"
+    assert ranges(go, "go") == [("struct", "A", 3, 3), ("interface", "C", 5, 5), ("struct", "D", 6, 6), ("type", "E", 7, 7), ("function", "Gen", 9, 9), ("function", "Do", 10, 13), ("type", "inner", 11, 11)]
+    rust = 'pub(crate) async unsafe fn a<T: Into<String>>(x: T) -> Option<T> where T: Copy { None }\nimpl<T> Foo<T> where T: X { pub const fn new() -> Self { Foo } const K: u8 = 1; }\npub struct Tup(u8, String);\nmacro_rules! mm { () => { fn hidden() {} } }\nextern "C" { fn ext(x: u8); }\nimpl<\'a> fmt::Display for E2<\'a> { fn fmt(&self) {} }\n'
+    assert pairs(rust, "rust") == [("function", "a"), ("impl", "Foo<T>"), ("constant", "K"), ("function", "new"), ("struct", "Tup"), ("function", "fmt"), ("impl", "fmt::Display for E2<'a>")]
+    kotlin = 'package a\n@Test\nclass A(val x: Int, @Inject private var y: String) : B() {\n    companion object { const val K = 1 }\n    @JvmStatic @Deprecated("x (y)") fun <T> m(a: T): T where T : Any = a\n    init { val local = 2 }\n    val q = foo(run { val inner = 1; inner })\n}\nsealed interface S\nobject O : P { var z = 3 }\n'
+    assert ranges(kotlin, "kotlin") == [("class", "A", 2, 8), ("property", "K", 4, 4), ("function", "m", 5, 5), ("property", "local", 6, 6), ("property", "inner", 7, 7), ("property", "q", 7, 7), ("class", "S", 9, 9), ("object", "O", 10, 10), ("property", "z", 10, 10)]
+    python = "@dec\nclass A(B):\n    @property\n    def x(self): return 1\n    async def y(self):\n        def z(): pass\n        return z\ndef long(\n    a,\n):\n    return lambda q: q\n"
+    assert ranges(python, "python") == [("class", "A", 2, 7), ("function", "x", 4, 4), ("function", "y", 5, 7), ("function", "z", 6, 6), ("function", "long", 8, 11)]
+
+
 def test_strings_and_comments_hide_declarations():
     assert pairs('// function a() {}\n/* class B {} */\nconst s = "function c() {}";\n', "javascript") == [("constant", "s")]
     assert symbols("x", "text") == []
