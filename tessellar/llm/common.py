@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without: a folder of its own then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and known.isDefined():
+        base = known.get()
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="tessellar-")
-            spark.sparkContext._jsc.sc().setCheckpointDir(base)
-        else:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tessellar-")
     return base.rstrip("/")
 
 

@@ -110,7 +110,7 @@ class Index:
             self.texts.append(c)
             self.budget.append(k)
             self.least.append(max(1, len(c) - Q + 1 - k * Q))
-        self.short = [i for i, c in enumerate(self.texts) if len(c) < Q]
+        self.short = [(i, np.concatenate([[32], c, [32]]).astype("<u4").tobytes()) for i, c in enumerate(self.texts) if len(c) < Q]
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
         self.owner, self.place = np.concatenate([*owner, np.zeros(0, int)])[order], np.concatenate([*place, np.zeros(0, int)])[order]
@@ -167,11 +167,12 @@ class Index:
             found = align(item, doc, low, 2 * (k + 1), k)
             if found and (i not in best or found < best[i]):
                 best[i] = found
-        for i in self.short:
+        if self.short:
             padded = np.concatenate([[32], doc, [32]]).astype("<u4").tobytes()
-            p = padded.find(np.concatenate([[32], self.texts[i], [32]]).astype("<u4").tobytes())
+        for i, pattern in self.short:
+            p = padded.find(pattern)
             while p >= 0 and p % 4:
-                p = padded.find(np.concatenate([[32], self.texts[i], [32]]).astype("<u4").tobytes(), p + 1)
+                p = padded.find(pattern, p + 1)
             if p >= 0:
                 best[i] = (0, p // 4, p // 4 + len(self.texts[i]))
         return [(i, e, int(where[s]), int(where[t - 1]) + 1) for i, (e, s, t) in sorted(best.items()) if t > s]
