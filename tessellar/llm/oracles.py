@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessellar.llm import licenses, pii, secrets
+from tessellar.llm import licenses, mixing, pii, secrets
 
 BACKOFF_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
@@ -62,6 +62,34 @@ FROM t LEFT JOIN z ON t.r = z.r
 """
 
 
+def mixing_sql(max_rate: int = mixing.MAX_RATE, block: int = mixing.BLOCK, piece: int = mixing.PIECE) -> str:
+    """Targets by refilling, multipliers by halving an interval, copies by carrying each block's rest from document to document."""
+    mass = f"sum(h.n * h.size * least({max_rate}, exp(least(50.0, (b.low + b.high) / 2 * h.size / b.scale))))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+g AS (SELECT source, doc_id, size, count(*) AS n FROM d GROUP BY ALL), h AS (SELECT source, size, sum(n)::BIGINT AS n FROM g GROUP BY ALL),
+t AS (SELECT source, sum(size * n)::BIGINT AS source_size, sum(n)::BIGINT AS n_docs, greatest(1.0, sum(size::DOUBLE * size * n) / nullif(sum(size * n), 0)) AS scale FROM h GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, {max_rate}.0 * source_size AS cap FROM t),
+f AS (SELECT 0 AS k, sum(source_size)::DOUBLE / sum(weight) AS level FROM w UNION ALL
+      SELECT k + 1, coalesce(((SELECT sum(source_size) FROM w) - coalesce((SELECT sum(cap) FROM w WHERE weight * level >= cap), 0)) / (SELECT sum(weight) FROM w WHERE weight * level < cap), level) FROM f WHERE k < 80),
+o AS (SELECT w.*, least(weight * level, cap) AS target FROM w, f WHERE k = 80),
+p AS (SELECT *, CASE WHEN target <= 0 OR source_size <= 0 THEN 0.0 WHEN target >= cap * (1 - 1e-12) THEN {max_rate}.0 END AS fixed, source IS NULL AS none FROM o),
+b AS (SELECT 0 AS k, source, none, scale, target, -60.0::DOUBLE AS low, 60.0::DOUBLE AS high FROM p WHERE fixed IS NULL UNION ALL
+      SELECT b.k + 1, b.source, b.none, b.scale, b.target, CASE WHEN {mass} < b.target THEN (b.low + b.high) / 2 ELSE b.low END, CASE WHEN {mass} < b.target THEN b.high ELSE (b.low + b.high) / 2 END
+      FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source WHERE b.k < 90 GROUP BY b.k, b.source, b.none, b.scale, b.target, b.low, b.high),
+r AS (SELECT p.*, b.low AS lam FROM p LEFT JOIN (SELECT * FROM b WHERE k = 90) b ON p.source IS NOT DISTINCT FROM b.source),
+e AS (SELECT source, doc_id, size, piece, least({piece}, n - piece * {piece}) AS n FROM (SELECT *, unnest(range(0, (n - 1) // {piece} + 1)) AS piece FROM g)),
+x AS (SELECT e.*, r.none, source_size, target, coalesce(fixed, least({max_rate}.0, exp(least(50.0, lam * size / scale)))) AS rate,
+        ('0x' || substr(md5(concat_ws('|', doc_id, size, piece)), 1, 8))::BIGINT % ceil(n_docs / {block}.0)::BIGINT AS block FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source),
+y AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS LAST, block) AS place, row_number() OVER (PARTITION BY source, block ORDER BY size DESC, doc_id NULLS FIRST, piece) AS i FROM x),
+q AS (SELECT place, 0::BIGINT AS i, 0.0::DOUBLE AS carry, 0::BIGINT AS k FROM y GROUP BY place UNION ALL
+      SELECT place, i, want - k * size, k FROM (SELECT *, CASE WHEN size > 0 THEN greatest(0, least(n * {max_rate}, round(want / size)))::BIGINT ELSE 0 END AS k FROM (
+        SELECT y.place, y.i, y.size, y.n, y.rate * y.size * y.n + q.carry AS want FROM q JOIN y ON q.place = y.place AND y.i = q.i + 1))),
+z AS (SELECT y.*, q.k, unnest(range(1, y.n + 1)) AS j FROM y JOIN q ON y.place = q.place AND y.i = q.i)
+SELECT doc_id, size, source_size, round(target, 6) AS target, size * (k // n + CASE WHEN j <= k % n THEN 1 ELSE 0 END) AS taken, source, (k // n + CASE WHEN j <= k % n THEN 1 ELSE 0 END)::INTEGER AS copies FROM z
+"""
+
+
 def pii_sql() -> str:
     """Matches with what stands before them (of kinds that need a boundary), validators, and words near each span."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -191,4 +219,4 @@ FROM t LEFT JOIN m USING (r) GROUP BY r
 
 
 def sql() -> dict[str, str]:
-    return {"op1_media": MEDIA_SQL, "op6_simhash": simhash_sql(), "op9_pii": pii_sql(), "op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}
+    return {"op1_media": MEDIA_SQL, "op4_mixing": mixing_sql(), "op6_simhash": simhash_sql(), "op9_pii": pii_sql(), "op2_suffix_dedup": REPEATS_SQL, "op10_secrets": secrets_sql(), "op5_lm_scoring": BACKOFF_SQL, "op8_licenses": licenses_sql()}

@@ -178,7 +178,7 @@ def test_decontamination_finds_what_the_bound_allows():
 
 
 def test_mixing(spark, docs, empty):
-    got = collected(mixing.report(docs))
+    got = collected(mixing.mix(docs))
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
     assert Counter((g["doc_id"], g["size"]) for g in got) == Counter((x[0], size(x[1])) for x in rows())
     totals = defaultdict(int)
@@ -212,7 +212,7 @@ def test_mixing(spark, docs, empty):
             mid = (low + high) / 2
             low, high = (mid, high) if sum(g["size"] * rate(g, mid) for g in own) < target[name] else (low, mid)
         assert all(math.isclose(g["rate"], rate(g, low), rel_tol=1e-3, abs_tol=1e-3) for g in own), name
-    again = collected(mixing.report(docs.repartition(5)))
+    again, got = collected(mixing.report(docs.repartition(5))), collected(mixing.report(docs))
     assert Counter(map(str, got)) == Counter(map(str, again))
     assert mixing.report(empty).count() == 0
 
@@ -612,3 +612,22 @@ def test_filters_pass_all_keys(spark):
         assert {g["i"] for g in common.without(every, "h", df).collect()} == set(range(5000, 20_000))
     finally:
         common.MOST_BITS, common.LEAST_BITS = small, most
+
+
+def test_queries_equal_their_sql(spark):
+    """Every registered query that has SQL, over the driver's smallest tables."""
+    import duckdb
+
+    from tessellar.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    plain = lambda x: round(x, 9) if isinstance(x, float) else x
+    for name, sql in queries.oracle_sql().items():
+        ours = queries.queries()[name](spark, sf)
+        theirs = con.execute(sql)
+        names = [c[0] for c in theirs.description]
+        assert sorted(names) == sorted(ours.columns), name
+        want = Counter(tuple(plain(x) for x in r) for r in theirs.fetchall())
+        assert Counter(tuple(plain(x) for x in r) for r in ours.select(*names).collect()) == want, name
