@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: What ends a line, as the corpus's line numbers count them.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
-IDENTIFIER = "[A-Za-z0-9_]+"
-WORD_PART = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"
+#: Parts of identifiers (runs of letters, digits and underscores): cut at case changes and digits. An identifier of underscores
+#: only is a part itself. What follows or precedes a part inside its identifier is seen in the text as a whole, so one pass finds all.
+PART = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|(?<![A-Za-z0-9_])_++(?![A-Za-z0-9])"
 SNIPPET_CHARS = 240
 
 
@@ -34,10 +35,7 @@ def strip(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case terms: identifiers cut at case changes and digits; those without any such part stay whole."""
-    words = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(IDENTIFIER), F.lit(0))
-    parts = F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(WORD_PART), F.lit(0)))
-    cut = F.zip_with(words, parts, lambda w, p: F.when(F.size(p) == 0, F.array(w)).otherwise(p))
-    return F.transform(F.flatten(cut), F.lower)
+    return F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(PART), F.lit(0)), F.lower)
 
 
 def terms(text: Column | str) -> Column:
