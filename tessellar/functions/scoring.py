@@ -102,16 +102,22 @@ def passes(semantic: Column, keyword: Column, score: Column, options: SearchOpti
     return ok
 
 
-def name_boost(query: Column, name: Column, signature: Column, header: Column) -> Column:
-    """What a symbol's score gains for its name, and for the query standing in its signature or header."""
+def name_gain(query: Column, name: Column) -> Column:
+    """What a symbol's score gains for its name."""
     q, n = terms(query), terms(name)
     wider = (F.size(q) >= 2) & (F.size(n) > F.size(q)) & (F.size(F.array_except(q, n)) == 0)
-    by_name = (
-        F.when((F.size(q) > 0) & (squeezed(query) == squeezed(name)), SAME_NAME).when((F.size(q) > 0) & (q == n), SAME_TERMS).when(wider, WIDER_NAME).otherwise(0.0)
-    )
+    return F.when((F.size(q) > 0) & (squeezed(query) == squeezed(name)), SAME_NAME).when((F.size(q) > 0) & (q == n), SAME_TERMS).when(wider, WIDER_NAME).otherwise(0.0)
+
+
+def phrase_gain(query: Column, text: Column, gain: float) -> Column:
+    """gain if the query stands in the text, as it is but for case and white space at its ends."""
     p = F.lower(strip(query))
-    inside = lambda text, gain: F.when((p != "") & F.lower(text).contains(p), gain).otherwise(0.0)
-    return by_name + inside(signature, IN_SIGNATURE) + inside(header, IN_HEADER)
+    return F.when((p != "") & F.lower(text).contains(p), gain).otherwise(0.0)
+
+
+def name_boost(query: Column, name: Column, signature: Column, header: Column) -> Column:
+    """What a symbol's score gains for its name, and for the query standing in its signature or header."""
+    return name_gain(query, name) + phrase_gain(query, signature, IN_SIGNATURE) + phrase_gain(query, header, IN_HEADER)
 
 
 def inferred_kind(signature: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import scoring as S
 from tessellar.functions.intent import CODE_WEIGHTS, IDENTIFIER_WEIGHTS, intent
-from tessellar.functions.text import snippet, terms, tokens
+from tessellar.functions.text import snippet, strip, terms, tokens
 
 MAX_QUERIES = 1024
 CODE_FIELDS = {"path": "path_text", "header": "header_text", "file_symbol": "file_symbol_text", "local_symbol": "local_symbol_text", "body": "body_text"}
@@ -211,6 +212,45 @@ def promoted(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("score") + boost, S.DIGITS))
 
 
+def _asked(rows: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
+    """For each of name, signature and header_text the pairs (query, value) of different texts that gain by it, found by joins on terms where there are any."""
+    q = queries.select("query").distinct().withColumns({"__q": terms("query"), "__p": F.lower(strip("query"))}).where("size(__q) > 0 or __p != ''")
+    names = rows.select("name").distinct().withColumn("__n", terms("name"))
+    same = q.where("size(__q) > 0").withColumn("__s", F.array_join("__q", "")).join(names.withColumn("__s", F.array_join("__n", "")), "__s").select("query", "name")
+    # A wider name holds all of a query's terms: it is met by the one that the fewest names hold.
+    held = names.where("size(__n) > 2").select("name", "__n", F.explode("__n").alias("__t"))
+    spread = held.groupBy("__t").agg(F.count("*").alias("__c"))
+    least = q.where("size(__q) > 1").select("query", "__q", F.explode("__q").alias("__t")).join(spread, "__t").groupBy("query").agg(F.min_by(F.struct("__t", "__q"), F.struct("__c", "__t")).alias("__a")).select("query", "__a.*")
+    wider = least.join(held, "__t").where("size(__n) > size(__q) and size(array_except(__q, __n)) = 0").select("query", "name")
+    inside = lambda c: q.where("__p != ''").join(rows.select(c).distinct(), F.lower(c).contains(F.col("__p"))).select("query", c)
+    return {"name": same.unionByName(wider).distinct(), "signature": inside("signature"), "header_text": inside("header_text")}
+
+
+def promoted_top(rows: DataFrame, queries: DataFrame, k: int, *tie: str) -> DataFrame:
+    """top(promoted(paired(rows, queries)), k, score falling, *tie), for scores that do not depend on the query, without those pairs.
+
+    rows(name, signature, header_text, score of at most DIGITS digits, *tie), queries(query_id, query). A row gains for its name,
+    its signature and its header. Rows that agree in all by which a row gains gain no less, so a row among a query's first k is
+    also among the first k, by score before the gains, of those rows. Only these are paired, with queries that name those values.
+    """
+    order = [F.desc("score"), *tie]
+    parts = {"name": S.name_gain(F.col("query"), F.col("name")), "signature": S.phrase_gain(F.col("query"), F.col("signature"), S.IN_SIGNATURE), "header_text": S.phrase_gain(F.col("query"), F.col("header_text"), S.IN_HEADER)}
+    asked, texts, hits = _asked(rows, queries), queries.select("query").distinct(), []
+    for own in (c for n in range(len(parts) + 1) for c in combinations(parts, n)):
+        if own:
+            first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("rank") <= k).drop("rank")
+            pairs = first.join(asked[own[0]], own[0])
+            for c in own[1:]:
+                pairs = pairs.join(asked[c], ["query", c])
+        else:
+            pairs = texts.crossJoin(F.broadcast(rows.orderBy(*order).limit(k)))
+        # Each pair counts once: where it gains by just these.
+        hits.append(pairs.where(reduce(lambda a, b: a & b, [(g > 0) == (c in own) for c, g in parts.items()])).select("query", *rows.columns))
+    w = Window.partitionBy("query").orderBy(*order)
+    best = promoted(reduce(DataFrame.unionByName, hits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumnRenamed("query", "__query").join(queries.select("query_id", "query"), F.col("__query").eqNullSafe(F.col("query"))).drop("__query")
+
+
 def in_scope(path, target: str):
     """Whether a path is the target or lies under it; an empty target or '.' is everything."""
     t = target.strip().strip("/")
@@ -219,4 +259,4 @@ def in_scope(path, target: str):
     return (path == t) | path.startswith(t + "/")
 
 
-__all__ = ["diversified", "in_scope", "promoted", "scored", "search_code", "search_identifiers", "terms", "top"]
+__all__ = ["diversified", "in_scope", "promoted", "promoted_top", "scored", "search_code", "search_identifiers", "terms", "top"]

@@ -147,6 +147,19 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert search.against(corpus, queries).count() == 10
 
 
+def test_promotion_pairs_only_what_counts(spark):
+    """The same rows as all pairs give, without a join of all rows with all queries."""
+    r = random.Random(17)
+    word = lambda: r.choice(("red", "Bolt", "ring", "hot", "old", "a", "tin", "plate"))
+    text = lambda n: r.choice((None, "", " ", *["".join((word().capitalize(), r.choice(("", "_", " "))) [0] + r.choice(("", "_", " ")) for _ in range(r.randint(1, n))) for _ in range(20)]))
+    data = [(i, text(4), text(3), text(2), r.choice((None, *(x / 100 for x in range(40))))) for i in range(700)] + [(700 + i, "x y z", "s", "h", 0.9) for i in range(20)]
+    rows = spark.createDataFrame(data, "id long, name string, signature string, header_text string, score double")
+    queries = spark.createDataFrame([(i, text(3)) for i in range(60)] + [(90, "x y"), (91, "x y z"), (92, "z X"), (93, None)], "query_id long, query string")
+    got = search.promoted_top(rows, queries, 7, "id").select("query_id", "rank", "id", "score")
+    want = search.top(search.promoted(search.paired(rows, queries)), 7, F.desc("score"), "id").select("query_id", "rank", "id", "score")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() == 64 * 7
+
+
 def test_stream_of_upserts(spark, tmp_path):
     src, out = tmp_path / "src", str(tmp_path / "out")
     spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], "k string, v int, s string").write.parquet(str(src))
