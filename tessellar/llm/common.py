@@ -66,7 +66,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote; only for tables that no result still reads."""
+    """Deletes what stored() or bucketed() wrote; only for tables that no result still reads."""
     for t in tables:
         _delete(t.sparkSession, t._stored_at)
 
@@ -88,8 +88,10 @@ def bucketed(df: DataFrame, name: str, key: str, least: int = 1) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.option("compression", "zstd").option("path", _new_folder(spark, name)).bucketBy(n, key).saveAsTable(table)
+    path = _new_folder(spark, name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     out = spark.table(table)
+    out._stored_at = path
     out.inputFiles()  # the relation is resolved with its buckets before the entry goes
     spark.sql(f"DROP TABLE {table}")
     return out

@@ -568,6 +568,32 @@ def test_toxicity_held_out(spark):
     assert hit > 0.9 * sum(g["toxic"] for g in got) and hit > 0.85 * sum(g["predicted"] for g in got)
 
 
+def test_toxicity_trains_on_every_labelled_row(spark, monkeypatch):
+    """Long texts too (all that is toxic here), in many shards; labels of held-out rows do not matter."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 50)
+    r = random.Random(31)
+    filler = [prose(r, 500) for _ in range(12)]
+    data = []
+    for i in range(400):
+        w = prose(r, r.randint(20, 60)).split()
+        if i % 4 == 0:
+            w = (" ".join(w) + " " + " ".join(r.choice(filler) for _ in range(12))).split()
+            for _ in range(6):
+                w[r.randrange(len(w))] = r.choice(("vile", "scum"))
+        data.append((i, " ".join(w), "en", int(i % 4 == 0)))
+    assert all(len(x[1]) > 30_000 for x in data if x[3])
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    held = {x[0] for x in data if zlib.crc32(str(x[0]).encode()) % 4 == 2}
+    table = toxicity.labelled(df.unionByName(df), labels)
+    assert {x["doc_id"] for x in table.collect()} == {x[0] for x in data} - held and table.count() == 400 - len(held)
+    assert table.select("shard").distinct().count() == -(-table.count() // 50)
+    got = {g["doc_id"]: g for g in toxicity.report(df, labels).collect()}
+    assert sum(got[x[0]]["predicted"] == x[3] for x in data if x[0] in held) > 0.9 * len(held)
+    other = {g["doc_id"]: g["score"] for g in toxicity.report(df, labels.withColumn("toxic", F.when(F.col("doc_id").isin(*held), 1).otherwise(F.col("toxic")))).collect()}
+    assert all(math.isclose(g["score"], other[i], abs_tol=1e-6) for i, g in got.items())
+
+
 def test_columns_of_any_name(spark):
     """Columns that clash with names the operators use inside come out as they went in."""
     r = random.Random(5)
