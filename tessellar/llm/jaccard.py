@@ -1,6 +1,7 @@
-"""Near copies by the exact Jaccard similarity of whole shingle sets, with pairs proposed by bands of min-hashes.
+"""Near copies by the exact Jaccard similarity of whole shingle sets, with pairs proposed by fingerprints and by bands of min-hashes.
 
-Equal sets collapse first. Each set has a key for each of BANDS bands of min-hashes; sets that share a key are proposed. Sets that
+Equal sets collapse first. Each set has a fingerprint (simhash.py), whose links propose, and a key for each of BANDS bands of min-hashes;
+sets that share a key are proposed too: fingerprints of 64 bits within the radius miss most pairs near the least similarity. Sets that
 proposals connect are compared in full, those of large groups block by block, and pairs of similarity NUM/DEN or more are links. Texts move
 only where a proposal needs them, and rows that stay are never shuffled.
 
@@ -10,7 +11,7 @@ any one row may stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,30 +119,33 @@ def similar(proposals: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return dealt.join(wanted, "nid").groupBy("at", "lo", "hi").applyInArrow(link, "u long, v long")
 
 
-def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """df with one row of each group of near copies, the one of the smallest id. Other columns pass unchanged, whatever their names."""
-    row, d0, d1, bands = free(df, "__row", "__d0", "__d1", "__bands")
+def dedupe(df: DataFrame, fingerprint: Callable[[np.ndarray], int], near: Callable[[DataFrame], DataFrame], doc_id: str, text: str, width: int) -> DataFrame:
+    """df with one row of each group of near copies, the one of the smallest id. Other columns pass unchanged, whatever their names.
+
+    fingerprint: of a set's hashes; near: edges (u, v) that connect sets(nid, f) of near fingerprints.
+    """
+    row, d0, d1, bands, f = free(df, "__row", "__d0", "__d1", "__bands", "__f")
     own, at = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys, seen = [], [], {}
+            digests, keys, prints, seen = [], [], [], {}
             for t in batch.column(at).to_pylist():
                 if t not in seen:
                     h = shingle_set(t, width)
-                    seen[t] = (set_digest(h), band_keys(h).view(np.int64))
-                digests.append(seen[t][0])
-                keys.append(seen[t][1])
+                    seen[t] = (set_digest(h), band_keys(h).view(np.int64), int(np.uint64(fingerprint(h)).astype(np.int64)) if len(h) else None)
+                for out, x in zip((digests, keys, prints), seen[t], strict=True):
+                    out.append(x)
             d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(keys, pa.list_(pa.int64()))], names=[*own, d0, d1, bands])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=[*own, d0, d1, bands, f])
 
-    schema = T.StructType([*df.schema.fields, T.StructField(d0, T.LongType()), T.StructField(d1, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField(d0, T.LongType()), T.StructField(d1, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType())), T.StructField(f, T.LongType())])
     tagged = stored(df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "tagged")
     least = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(row).alias("row")).alias("least")
     nodes = stored(tagged.select(d0, d1, least).groupBy(d0, d1).agg(F.min("least").alias("least")).select("least", F.col("least.row").alias("nid")), "nodes")
     repeats = stored(tagged.select(F.col(row).alias("nid")).join(nodes, "nid", "left_anti"), "repeats")
-    sets = without(tagged.select(F.col(row).alias("nid"), F.col(bands).alias("bands")), "nid", repeats)
-    edges = stored(similar(proposed(sets), tagged.select(F.col(row).alias("nid"), F.col(text).alias("text")), width), "similar")
+    sets = without(tagged.select(F.col(row).alias("nid"), F.col(bands).alias("bands"), F.col(f).alias("f")), "nid", repeats)
+    edges = stored(similar(near(sets.select("nid", "f")).unionByName(proposed(sets)), tagged.select(F.col(row).alias("nid"), F.col(text).alias("text")), width), "similar")
     table = nodes.join(components(edges), F.col("nid") == F.col("v"), "left").select("least", F.coalesce("u", "nid").alias("root"))
     kept = table.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
     gone = stored(tagged.select(row).join(kept, row, "left_anti"), "gone")

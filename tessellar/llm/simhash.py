@@ -15,8 +15,10 @@ Links become stars inside each task and components over all tasks (graph.compone
 many near copies never yields all its pairs.
 
 Null and empty texts have the fingerprint zero. Null ids take part; the smallest id of a component
-ignores them (null where there is no other). dedupe, which keeps one document of each group of near
-copies, decides by exact similarity instead (jaccard.py).
+ignores them (null where there is no other).
+
+dedupe keeps one document of each group of near copies: links of fingerprints propose, and pairs by
+min-hashes too, which fingerprints at this radius cannot reach; whole shingle sets decide (jaccard.py).
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellar.llm import jaccard
 from tessellar.llm.common import hot_join, stored
 from tessellar.llm.graph import components, local_components
-from tessellar.llm.jaccard import dedupe
 from tessellar.llm.words import shingle_hashes
 
 FAN = 4
@@ -42,8 +44,8 @@ QUERIES = 2048
 SALT = 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    h = shingle_hashes(text, width, seed)
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits that are 1 in over half of them; zero of none."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -52,6 +54,10 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(rows: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, f) of rows(doc_id, text), f as a signed long."""
 
@@ -193,6 +199,22 @@ def placed(prints: DataFrame, least_shards: int = LEAST_SHARDS) -> DataFrame:
     return linked.unionByName(nodes.join(every.select("nid"), "nid", "left_anti").select("f", F.col("least").alias("component")))
 
 
+def near(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the nodes of sets(nid, f) whose fingerprints are at most RADIUS bits apart (null: of none).
+
+    Nodes of one fingerprint are linked to the least of them, fingerprints through the index as links() says.
+    """
+    prints = sets.where(F.col("f").isNotNull()).select("nid", "f")
+    nodes = stored(prints.groupBy("f").agg(F.min("nid").alias("nid"), F.count("*").alias("n")), "prints")
+    same = prints.join(nodes.where("n > 1").select(F.col("nid").alias("u"), "f"), "f").where("nid != u").select("u", F.col("nid").alias("v"))
+    return same.unionByName(links(nodes.select("nid", "f")))
+
+
+def dedupe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """df with one row of each group of near copies, the one of the smallest id: fingerprints propose, whole sets decide."""
+    return jaccard.dedupe(df, majority, near, doc_id, text, width)
+
+
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: 3-word shingles, links at 2 or fewer of 64 bits."""
     prints = stored(fingerprints(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessellar.llm import common, decontam, graph, licenses, lm, media, mixing, pii, sais, secrets, simhash, suffix, toxicity
+from tessellar.llm import common, decontam, graph, jaccard, licenses, lm, media, mixing, pii, sais, secrets, simhash, suffix, toxicity
 from tessellar.llm.words import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, spans string, f0 long, u string, target double"
@@ -493,6 +493,23 @@ def test_near_dedup_counts_similarity(spark, docs):
     assert {g["doc_id"] for g in collected(simhash.dedupe(df))} == {root(i) for i in range(len(texts))}
 
 
+def test_fingerprints_propose_near_copies(spark, monkeypatch):
+    """Without any shared min-hash key, pairs of near fingerprints are found, and sets decide; with them, other pairs come on top."""
+    r = random.Random(77)
+    texts = []
+    for k in range(40):
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join([*base[: 399 - k % 8], "other"])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "", 1, "", 1.0) for i, t in enumerate([*texts, "", None])], SCHEMA)
+    prints = [simhash.majority(np.unique(simhash.shingle_hashes(t, 5, 42))) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS]
+    want = graph.local_components(len(texts), *np.array(near).T)
+    assert 40 < (want != np.arange(len(texts))).sum() < 80  # all of them have similarity 0.8 or more
+    assert {g["doc_id"] for g in collected(simhash.dedupe(df))} == {*range(0, 120, 3), 120}
+    monkeypatch.setattr(jaccard, "proposed", lambda sets: sets.select(F.col("nid").alias("u"), F.col("nid").alias("v")).limit(0))
+    assert {g["doc_id"] for g in collected(simhash.dedupe(df))} == {*want.tolist(), 120}
+
+
 def test_licenses_long_units_of_few_bigrams(spark):
     gpl = dict(licenses.TEMPLATES)["GPL-3.0"]
     texts = ["Released under the MIT License.\n" * 900, "Released under" + " -" * 9000 + " the MIT License.", "_Released_under_the_MIT_License_", "\n".join([gpl.replace(" ", "\n", 9)] * 60)]
