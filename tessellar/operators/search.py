@@ -7,11 +7,16 @@ table is broadcast after its size has been checked. Larger query tables go in bl
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions import scoring as S
@@ -85,16 +90,134 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_code(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, options: S.SearchOptions | None = None) -> DataFrame:
-    """(query_id, rank, relative_path, start_line, end_line, score, semantic, lexical, snippet) of each query's chunks."""
+def _lexical(corpus: DataFrame, queries: DataFrame, fields: dict[str, str], profiles: dict) -> tuple[DataFrame, list[str | None]]:
+    """corpus with __lexical, its score for each different query text, and those texts in that order."""
+    texts = queries.select("query").distinct().select(F.struct("query", tokens("query").alias("terms"), intent(F.col("query")).alias("intent")).alias("t"))
+    texts = texts.agg(F.sort_array(F.collect_list("t")).alias("__texts"))
+    columns = {n: F.col(c) for n, c in fields.items()}
+
+    def one(t):
+        scores = {n: S.field_score(t["query"], t["terms"], F.col(c), F.col(f"__terms_{n}")) for n, c in fields.items()}
+        return F.when(F.size(t["terms"]) == 0, F.lit(0.0)).otherwise(S.profiled_mean(t["intent"], scores, columns, profiles))
+
+    order = [t["query"] for t in texts.first()["__texts"]]
+    return with_terms(corpus, fields).join(F.broadcast(texts)).withColumn("__lexical", F.transform("__texts", one)), order
+
+
+def _nearest(rows: DataFrame, asked: list, width: int, o: S.SearchOptions, most: int) -> DataFrame:
+    """Of scored()'s rows at least the first most of each query, whatever ties: rows(*SHOWN, __lexical, vector), asked(query_id, number of its text, vector or None), vectors of so many numbers.
+
+    All pairs are scored in numpy, by products of matrices; those that can be among a task's best are scored again as scored() does,
+    in the same order of operations, and go on.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    total = o.semantic_weight + o.keyword_weight
+
+    def combined(semantic: np.ndarray, lexical: np.ndarray) -> np.ndarray:
+        own = np.where(semantic > 0, semantic, np.where(np.isnan(semantic), semantic, 0.0))
+        x = (o.semantic_weight * own + o.keyword_weight * lexical) / total if total > 0 else semantic
+        return np.where(np.isnan(x), 1.0, np.clip(x, 0.0, 1.0))  # NaN counts as the greatest, as in Spark
+
+    def in_turn(a: np.ndarray, b: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:
+        out = np.zeros(len(a[i]) if isinstance(i, slice) else len(i))
+        for x, y in zip(a.T, b.T, strict=True):
+            out += x[i] * y[j]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, text = np.array([q[0] for q in shared.value], np.int64), np.array([q[1] for q in shared.value], np.int64)
+        unknown = np.array([q[2] is None for q in shared.value], bool)
+        v = np.array([q[2] or [0.0] * width for q in shared.value], float).reshape(len(ids), width)
+        vn, least, waiting, held = np.sqrt(in_turn(v, v)), np.full(len(v), -np.inf), [], 0
+
+        def best() -> list:
+            whole = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            order = np.lexsort((-whole[3], whole[0]))
+            q, score = whole[0][order], whole[3][order]
+            first = np.searchsorted(q, np.arange(len(v)))
+            full = np.flatnonzero(np.searchsorted(q, np.arange(len(v)), side="right") - first >= most)
+            least[full] = score[first[full] + most - 1] - 1.5 * 10.0**-S.DIGITS  # rounded, lower ones may be equal
+            keep = order[score >= least[q]]
+            return [x[keep] for x in whole]
+
+        tables, at = [], 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            tables.append(t.select(list(SHOWN)))
+            lists = b.column(b.schema.get_field_index("vector"))
+            size = pc.list_value_length(lists)
+            if not unknown.all() and pc.any(pc.not_equal(size, width)).as_py():
+                raise ValueError("vectors of different lengths")
+            none = np.array(pc.is_null(lists)).astype(bool)
+            x = np.zeros((b.num_rows, width))
+            if width and not none.all():
+                flat = pc.list_flatten(lists)
+                x[~none] = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+                none[~none] = np.array(flat.is_null()).reshape(-1, width).any(1)
+                x[none] = 0
+            lexical = np.array(b.column(b.schema.get_field_index("__lexical")).to_pylist(), float).reshape(b.num_rows, -1)
+            xn = np.sqrt(in_turn(x, x))
+            step = max(1, 500_000 // max(1, len(v)))
+            for k in range(0, b.num_rows if len(v) else 0, step):
+                part = slice(k, k + step)
+                norms = xn[part, None] * vn[None]
+                rough = np.divide(x[part] @ v.T, norms, out=np.zeros_like(norms), where=norms != 0)
+                i, j = np.nonzero(combined(rough, lexical[part][:, text]) >= np.maximum(least, o.min_combined) - 1e-9)
+                i += k
+                norm = xn[i] * vn[j]
+                semantic = np.divide(in_turn(x, v, i, j), norm, out=np.zeros(len(i)), where=norm != 0)
+                lex = lexical[i, text[j]]
+                blank = (none[i] | unknown[j]) & ~(~none[i] & (xn[i] == 0) | ~unknown[j] & (vn[j] == 0))  # beside a zero vector, a null one counts as 0
+                score = combined(semantic, lex)
+                own = np.where(np.isnan(semantic), np.inf, np.maximum(semantic, 0.0))
+                ok = (own >= o.min_semantic) & (lex >= o.min_keyword) & (score >= o.min_combined)
+                ok &= (own > 0) & ~blank if o.require_semantic else True
+                ok &= lex > 0 if o.require_keyword else True
+                waiting.append([j[ok], i[ok] + at, np.where(blank, 2.0, semantic)[ok], score[ok], lex[ok]])
+                held += int(ok.sum())
+                if held > 2 * most * len(v):
+                    waiting[:] = [best()]
+                    held = len(waiting[0][0])
+            at += b.num_rows
+        if not waiting:
+            return
+        j, i, semantic, score, lex = best()
+        whole = pa.concat_tables(tables)
+        for k in range(0, len(j), 10_000):
+            part = slice(k, k + 10_000)
+            out = whole.take(pa.array(i[part]))
+            out = out.append_column("query_id", pa.array(ids[j[part]])).append_column("score", pa.array(score[part])).append_column("lexical", pa.array(lex[part]))
+            yield from out.append_column("semantic", pa.array(semantic[part], mask=semantic[part] == 2.0)).combine_chunks().to_batches()
+
+    kept = rows.mapInArrow(run, "chunk_id string, relative_path string, start_line int, end_line int, query_id long, score double, lexical double, semantic double")
+    return kept.select("query_id", *SHOWN, *(F.round(c, S.DIGITS).alias(c) for c in ("score", "semantic", "lexical")))
+
+
+SHOWN = ("chunk_id", "relative_path", "start_line", "end_line")
+
+
+def search_code(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, options: S.SearchOptions | None = None, first: int = 500) -> DataFrame:
+    """(query_id, rank, relative_path, start_line, end_line, score, semantic, lexical, snippet) of each query's chunks.
+
+    Each query reads its first rows, and eight times as many while those do not settle its outcome.
+    """
     o = options or S.SearchOptions()
+    spark = chunks.sparkSession
     corpus = chunks.join(embeddings.select("embedding_id", "vector"), "embedding_id")
-    slim = ["chunk_id", "relative_path", "start_line", "end_line", *dict.fromkeys(CODE_FIELDS.values()), "vector"]
-    hits = scored(corpus.select(*slim), queries, CODE_FIELDS, CODE_WEIGHTS, o).select("query_id", "chunk_id", "relative_path", "start_line", "end_line", "score", "semantic", "lexical")
-    picked = diversified(hits, o.top_k)
-    shown = chunks.select("chunk_id", "content").join(F.broadcast(picked), "chunk_id")  # at most top_k rows for each query
-    # A snippet of an array's one element stays above the join: it is cut for the rows shown, not for all chunks.
-    return shown.select(*(c for c in picked.columns if c != "chunk_id"), F.explode(F.array("content")).alias("__content")).withColumn("snippet", snippet("__content")).drop("__content")
+    rows, texts = _lexical(corpus, queries, CODE_FIELDS, CODE_WEIGHTS)
+    rows = rows.select("chunk_id", "relative_path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), "__lexical", F.col("vector").cast("array<double>").alias("vector")).persist(StorageLevel.DISK_ONLY)
+    number = {t: n for n, t in enumerate(texts)}
+    asked = [(r[0], number[r[1]], None if r[2] is None or None in r[2] else r[2]) for r in queries.select(F.col("query_id").cast("long"), "query", F.col("vector").cast("array<double>")).collect()]
+    width = max((len(q[2]) for q in asked if q[2] is not None), default=0)
+    if any(len(q[2]) != width for q in asked if q[2] is not None):
+        raise ValueError("vectors of different lengths")
+    try:
+        picked = _settled(spark, lambda most, ids: _nearest(rows, [q for q in asked if ids is None or q[0] in ids], width, o, most), o.top_k, first)
+        # A snippet of an array's one element stays above the join: it is cut for the rows shown, not for all chunks.
+        shown = chunks.select("chunk_id", "content").join(F.broadcast(picked), "chunk_id")  # at most top_k rows for each query
+        return shown.select(*(c for c in picked.columns if c != "chunk_id"), F.explode(F.array("content")).alias("__content")).withColumn("snippet", snippet("__content")).drop("__content")
+    finally:
+        rows.unpersist()
 
 
 ORDER = ("score", "lexical", "semantic", "relative_path", "start_line", "chunk_id")
@@ -108,16 +231,21 @@ def diversified(hits: DataFrame, k: int, first: int = 20_000) -> DataFrame:
     The choice is sequential, but rows far enough below the first k results cannot change them. So each query
     reads its best rows only; a query for which they do not settle the outcome reads eight times as many.
     """
-    hits = hits.select(F.col("query_id").cast("long").alias("query_id"), *ORDER, "end_line")
+    return _settled(hits.sparkSession, lambda most, ids: hits if ids is None else hits.where(F.col("query_id").isin(ids)), k, first)
+
+
+def _settled(spark: SparkSession, hits_of, k: int, most: int) -> DataFrame:
+    """hits_of(most, ids): hits that hold at least the first most rows of each query, of these ids (none: of all)."""
     order = [F.col(c) if up else F.desc(c) for c, up in zip(ORDER, RISING, strict=True)]
-    rest, out, most = hits, [], first
+    out, open_ = [], None
     while True:
+        rest = hits_of(most, open_).select(F.col("query_id").cast("long").alias("query_id"), *ORDER, "end_line")
         found = top(rest, most, *order).drop("rank").groupBy("query_id").applyInPandas(_picker(k, most), PICKED + ", settled boolean").collect()  # at most k rows for each query
         out += [tuple(r)[:-1] for r in found if r["settled"]]
         open_ = sorted({r["query_id"] for r in found if not r["settled"]})
         if not open_:
-            return hits.sparkSession.createDataFrame(out, PICKED)
-        rest, most = rest.where(F.col("query_id").isin(open_)), most * 8
+            return spark.createDataFrame(out, PICKED)
+        most *= 8
 
 
 def _picker(k: int, limit: int):

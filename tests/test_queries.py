@@ -147,6 +147,23 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert search.against(corpus, queries).count() == 10
 
 
+def test_code_search_in_blocks_equals_all_pairs(spark):
+    """The same rows as scoring every pair as columns gives, though each query first reads few rows; vectors may be null or zero."""
+    r = random.Random(23)
+    words = lambda n: " ".join(r.choice(("index", "build", "row", "user", "find", "x")) for _ in range(r.randint(0, n)))
+    vector = lambda: r.choice((None, [0.0] * 4, *([round(r.gauss(0, 1), 1) for _ in range(4)] for _ in range(12))))
+    kinds = ("header_text", "file_symbol_text", "local_symbol_text")
+    data = [(f"c{i}", r.choice("abcdef"), 3 * i % 40, 3 * i % 40 + 2, words(8), words(2), words(2), f"e{i}", vector(), "", words(2), "") for i in range(900)]
+    chunks = spark.createDataFrame(data, "chunk_id string, relative_path string, start_line int, end_line int, content string, path_text string, body_text string, embedding_id string, vector array<double>, " + ", ".join(f"{k} string" for k in kinds))
+    queries = spark.createDataFrame([(i, words(3), vector()) for i in range(25)], "query_id long, query string, vector array<double>")
+    shown = ["query_id", "rank", "relative_path", "start_line", "end_line", "score", "semantic", "lexical"]
+    for o in (S.SearchOptions(), S.SearchOptions(require_semantic=True, min_keyword=0.1), S.SearchOptions(top_k=9, min_combined=0.0, require_keyword=True)):
+        hits = search.scored(chunks, queries, search.CODE_FIELDS, search.CODE_WEIGHTS, o)
+        want = search.diversified(hits, o.top_k).select(*shown).collect()
+        got = search.search_code(chunks.drop("vector"), chunks.select("embedding_id", "vector"), queries, o, first=12).select(*shown).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 50
+
+
 def test_promotion_pairs_only_what_counts(spark):
     """The same rows as all pairs give, without a join of all rows with all queries."""
     r = random.Random(17)
