@@ -196,14 +196,14 @@ def _nearest(rows: DataFrame, asked: list, width: int, o: S.SearchOptions, most:
 SHOWN = ("chunk_id", "relative_path", "start_line", "end_line")
 
 
-def search_code(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, options: S.SearchOptions | None = None, first: int = 500) -> DataFrame:
+def search_code(chunks: DataFrame, embeddings: DataFrame | None, queries: DataFrame, options: S.SearchOptions | None = None, first: int = 500) -> DataFrame:
     """(query_id, rank, relative_path, start_line, end_line, score, semantic, lexical, snippet) of each query's chunks.
 
-    Each query reads its first rows, and eight times as many while those do not settle its outcome.
+    Without embeddings, chunks have their vectors. Each query reads its first rows, and eight times as many while those do not settle its outcome.
     """
     o = options or S.SearchOptions()
     spark = chunks.sparkSession
-    corpus = chunks.join(embeddings.select("embedding_id", "vector"), "embedding_id")
+    corpus = chunks if embeddings is None else chunks.join(embeddings.select("embedding_id", "vector"), "embedding_id")
     rows, texts = _lexical(corpus, queries, CODE_FIELDS, CODE_WEIGHTS)
     rows = rows.select("chunk_id", "relative_path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), "__lexical", F.col("vector").cast("array<double>").alias("vector")).persist(StorageLevel.DISK_ONLY)
     number = {t: n for n, t in enumerate(texts)}
