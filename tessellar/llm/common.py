@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,11 +43,24 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collects the driver's garbage once its heap has grown to half of what it may take.
+
+    A chain of many small jobs leaves plans, metrics and broadcast blocks behind, for which the heap grows to its limit though little of
+    it is alive; a full collection gives that memory back. Spark removes shuffle files, too, only once the driver has collected what
+    stood for them. Python's dead frames go first: each holds on to its plan.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and returns what was written.
 
     The lineage ends there: an executor that is lost later costs a read, not the work before it. The files go
-    when the application ends, or sooner by discard().
+    when the application ends, or sooner by discard(); the job's garbage goes by sweep().
     """
     spark = df.sparkSession
     path = _new_folder(spark, name)
@@ -54,6 +68,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, code
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

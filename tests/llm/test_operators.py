@@ -638,6 +638,19 @@ def test_written_leaves_one_folder(spark):
     assert set(common._FOLDERS) == before
 
 
+def test_stored_gives_back_the_drivers_memory(spark):
+    """A heap that garbage made grow to over half of its limit shrinks once a step's table is written."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    spark._jvm.java.lang.System.gc()
+    left = heap.maxMemory() * 7 // 10 - (heap.totalMemory() - heap.freeMemory())
+    garbage = [spark._jvm.java.nio.ByteBuffer.allocate(16 << 20) for _ in range(left >> 24)]
+    before = heap.totalMemory()
+    assert 2 * before > heap.maxMemory()
+    del garbage
+    common.stored(spark.range(100), "few")
+    assert heap.totalMemory() < 0.8 * before
+
+
 def test_filters_pass_all_keys(spark):
     r = np.random.default_rng(3)
     keys = r.integers(0, 1 << 63, 20_000, dtype=np.int64)
